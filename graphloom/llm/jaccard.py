@@ -142,6 +142,21 @@ def _verified(pairs: DataFrame, documents: DataFrame, words: int) -> DataFrame:
     return both.mapInArrow(_overlaps(words), "a long, b long, shared long, n_a long, n_b long")
 
 
+def _prefix(percent: int, n: Column) -> Column:
+    """Length of the prefix of a set of n shingles."""
+    return n - F.ceil(n * percent / F.lit(100.0) - 1e-9) + 1
+
+
+def _possible(percent: int, lists: Column, x: Column, y: Column) -> Column:
+    """Whether sets of x and y shingles whose prefixes share `lists` shingles may link.
+
+    What both sets hold up to the end of the prefix that ends first is among these; behind it are the other shingles of that set.
+    """
+    need = F.ceil((x + y) * percent / F.lit(100.0 + percent) - 1e-9)
+    rest = F.greatest(x - _prefix(percent, x), y - _prefix(percent, y))
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (lists + rest >= need)
+
+
 def _linked(percent: int, shared: Column, n_a: Column, n_b: Column) -> Column:
     return shared * 100 >= (n_a + n_b - shared) * percent
 
@@ -177,8 +192,8 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     1. Equal sets become one node, by a digest, whatever their number.
     2. Each node is listed under the first shingles of its set, rare ones first; linked nodes share a list. In every list, a node
        meets the list's leader only, and is compared with the leader that it shares most lists with: a comparison for each node.
-    3. Lists whose nodes are all in one component are done. In the others, nodes of different components meet, but for blocks that size or
-       position in the lists rule out; most of these pairs are settled by what both share with their common leader, and the rest are counted.
+    3. Lists whose nodes are all in one component are done. In the others, nodes of different components meet, but for those that size or
+       position in the lists rule out. Pairs that share too few lists go; what both share with a common leader settles others; the rest are counted.
 
     Lists are joined by key, so that adaptive execution can split a hot one. Documents without words or text
     have 0 shingles and their own component. Without doc_id, a row has no component (null) and links with nothing. Rows with equal
@@ -191,10 +206,10 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     nodes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     lists = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    leaders = lists.groupBy("token").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    leaders = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     shared = written(lists.join(leaders, "token"), "lists")
 
-    met = shared.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("lists"))
+    met = shared.where("node <> leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("leader_n").alias("leader_n")).where(_possible(percent, F.col("lists"), F.col("n"), F.col("leader_n")))
     best = met.groupBy("node").agg(F.max(F.struct("lists", (-F.col("leader")).alias("minus"))).alias("x")).select((-F.col("x.minus")).alias("a"), F.col("node").alias("b"))
     first = written(_verified(best, documents, words), "overlaps")
     links = first.where(_linked(percent, F.col("shared"), F.col("n_a"), F.col("n_b"))).select("a", "b")
@@ -204,7 +219,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     states = shared.select("node").distinct().join(known, "node", "left").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = shared.join(states.select("node", "component"), "node").groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     # in lists that are not done, by token
-    rest = shared.drop("leader").join(open_tokens, "token", "left_semi").join(states, "node")
+    rest = shared.drop("leader", "leader_n").join(open_tokens, "token", "left_semi").join(states, "node")
     x, y = rest.alias("x"), rest.alias("y")
     small, large = F.col("x.n"), F.col("y.n")
     need = F.ceil((small + large) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
@@ -215,8 +230,9 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
         & (large * percent <= small * 100)
         & (F.least(small - F.col("x.pos"), large - F.col("y.pos")) >= need - F.least("x.pos", "y.pos"))
     )
-    columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in ("node", "n", "anchor", "with_anchor", "anchor_n")]
-    pairs = x.join(y, skip).select(*columns).distinct()
+    fields = ("node", "n", "anchor", "with_anchor", "anchor_n")
+    columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in fields]
+    pairs = x.join(y, skip).select(*columns).groupBy(*(f"{c}_{s}" for s in "xy" for c in fields)).agg(F.count(F.lit(1)).alias("lists")).where(_possible(percent, F.col("lists"), F.col("n_x"), F.col("n_y")))
     low = F.col("with_anchor_x") + F.col("with_anchor_y") - F.col("anchor_n_x")
     high = F.least(F.col("n_x") - F.col("with_anchor_x"), F.col("n_y") - F.col("with_anchor_y")) + F.least("with_anchor_x", "with_anchor_y")
     same = F.col("anchor_x") == F.col("anchor_y")
