@@ -223,16 +223,23 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     x, y = rest.alias("x"), rest.alias("y")
     small, large = F.col("x.n"), F.col("y.n")
     need = F.ceil((small + large) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+    # the first shingle that linked sets share has so many others behind it in both
     skip = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.component") != F.col("y.component"))
         & ((small < large) | ((small == large) & (F.col("x.node") < F.col("y.node"))))
         & (large * percent <= small * 100)
-        & (F.least(small - F.col("x.pos"), large - F.col("y.pos")) >= need - F.least("x.pos", "y.pos"))
+        & (small - F.col("x.pos") >= need)
+        & (large - F.col("y.pos") >= need)
     )
     fields = ("node", "n", "anchor", "with_anchor", "anchor_n")
     columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in fields]
-    pairs = x.join(y, skip).select(*columns).groupBy(*(f"{c}_{s}" for s in "xy" for c in fields)).agg(F.count(F.lit(1)).alias("lists")).where(_possible(percent, F.col("lists"), F.col("n_x"), F.col("n_y")))
+    mine = shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    pairs = (
+        x.join(y, skip).select(*columns).distinct()
+        .join(mine.toDF("node_x", "tokens_x"), "node_x").join(mine.toDF("node_y", "tokens_y"), "node_y")
+        .where(_possible(percent, F.size(F.array_intersect("tokens_x", "tokens_y")), F.col("n_x"), F.col("n_y")))
+    )
     low = F.col("with_anchor_x") + F.col("with_anchor_y") - F.col("anchor_n_x")
     high = F.least(F.col("n_x") - F.col("with_anchor_x"), F.col("n_y") - F.col("with_anchor_y")) + F.least("with_anchor_x", "with_anchor_y")
     same = F.col("anchor_x") == F.col("anchor_y")
