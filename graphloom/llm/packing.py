@@ -8,7 +8,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,39 +15,31 @@ from graphloom.llm.common import range_width, ranked, slices, written
 
 #: The pattern that byte-level BPE splits text by before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Word pieces whose ids a worker remembers.
-REMEMBERED = 400_000
 
 
 class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes.
+    """Token ids of texts as little-endian unsigned 32-bit bytes, for a byte-level BPE file of the `tokenizers` library.
 
-    Merges never cross the splits of PATTERN, so each distinct split is encoded once and remembered; a text
-    that holds an added token goes to the tokenizer whole.
+    `tiktoken` runs the same merges from the file's vocabulary, whose ids are the merges' ranks, in a quarter of the time; a
+    text that holds an added token goes to `tokenizers` itself. Tests hold the ids of one against the other.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as the characters of the same number
+        others = [b for b in range(256) if b not in shown]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(others)}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.added}
+        self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         if any(x in text for x in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts, known = self.split(text), self.known
-        try:
-            return b"".join([known[x] for x in parts])
-        except KeyError:
-            pass
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({x for x in parts if x not in known})
-        for x, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[x] for x in parts])
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 @lru_cache(1)
