@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import graphloom.plans.structure_queries  # noqa: F401
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
 
 FOLDER = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
