@@ -14,6 +14,8 @@ from graphloom.llm.common import slices, written
 
 #: Sampled documents, and how many of them hold a shingle that goes to the end of the order; entries of that list at most.
 SAMPLE, COMMON, COMMON_ENTRIES = 4_000, 8, 100_000
+#: Bits of a set's parities: a bit tells whether an odd number of its shingles have that hash.
+PARITY_BITS = 2048
 #: Bits of the filter of documents whose texts a verification needs: 8 MB whatever the input.
 WANTED_BITS = 1 << 26
 REMEMBERED = 500_000
@@ -53,12 +55,14 @@ def _sets(words: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, frequent = Shingles(words), np.frombuffer(common.value, np.int64)
         for part in slices(batches, "text"):
-            n, digests, prefixes = [], [], []
+            n, digests, prefixes, bits = [], [], [], []
             for text in part.column("text").to_pylist():
                 s = shingles.of(text)
                 keep = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 n.append(len(s))
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                parity = np.bincount(s & (PARITY_BITS - 1), minlength=PARITY_BITS).astype(np.uint8) & 1
+                bits.append(np.packbits(parity).view(np.int64))
                 if frequent.size and len(s):
                     at = np.searchsorted(frequent, s)
                     late = frequent[np.minimum(at, frequent.size - 1)] == s
@@ -66,7 +70,7 @@ def _sets(words: int, percent: int, common):
                 prefixes.append(s[:keep])
             values = pa.array(np.concatenate([*prefixes, np.empty(0, np.int64)]))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefixes)]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], ["doc_id", "n", "digest", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists, pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n", "digest", "prefix", "bits"])
 
     return run
 
@@ -157,6 +161,12 @@ def _possible(percent: int, lists: Column, x: Column, y: Column) -> Column:
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & (lists + rest >= need)
 
 
+def _near_enough(percent: int, p: Column, q: Column, x: Column, y: Column) -> Column:
+    """Whether sets of x and y shingles with the parities p and q may link: each differing bit takes a shingle that one set lacks."""
+    differing = F.aggregate(F.zip_with(p, q, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
+    return F.coalesce(x + y - differing >= 2 * F.ceil((x + y) * percent / F.lit(100.0 + percent) - 1e-9), F.lit(True))
+
+
 def _linked(percent: int, shared: Column, n_a: Column, n_b: Column) -> Column:
     return shared * 100 >= (n_a + n_b - shared) * percent
 
@@ -193,7 +203,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     2. Each node is listed under the first shingles of its set, rare ones first; linked nodes share a list. In every list, a node
        meets the list's leader only, and is compared with the leader that it shares most lists with: a comparison for each node.
     3. Lists whose nodes are all in one component are done. In the others, nodes of different components meet, but for those that size or
-       position in the lists rule out. Pairs that share too few lists go; what both share with a common leader settles others; the rest are counted.
+       position in the lists rule out. Pairs that share too few lists or whose parities differ in too many bits go; what both share with a common leader settles others; the rest are counted.
 
     Lists are joined by key, so that adaptive execution can split a hot one. Documents without words or text
     have 0 shingles and their own component. Without doc_id, a row has no component (null) and links with nothing. Rows with equal
@@ -202,9 +212,9 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     spark = documents.sparkSession
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = spark.sparkContext.broadcast(common_shingles(documents, words).tobytes())
-    sets = written(documents.mapInArrow(_sets(words, percent, common), "doc_id long, n long, digest binary, prefix array<long>"), "sets")
+    sets = written(documents.mapInArrow(_sets(words, percent, common), "doc_id long, n long, digest binary, prefix array<long>, bits array<long>"), "sets")
     real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    nodes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    nodes = real.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     lists = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
     leaders = lists.groupBy("token").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
     shared = written(lists.join(leaders, "token"), "lists")
@@ -234,11 +244,14 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     )
     fields = ("node", "n", "anchor", "with_anchor", "anchor_n")
     columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in fields]
-    mine = shared.groupBy("node").agg(F.collect_list("token").alias("tokens"))
+    # a node of several sets, which repeated ids make, has no parities and passes
+    parities = nodes.groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
+    mine = rest.select("node").distinct().join(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")), "node").join(parities, "node")
     pairs = (
         x.join(y, skip).select(*columns).distinct()
-        .join(mine.toDF("node_x", "tokens_x"), "node_x").join(mine.toDF("node_y", "tokens_y"), "node_y")
+        .join(mine.toDF("node_x", "tokens_x", "bits_x"), "node_x").join(mine.toDF("node_y", "tokens_y", "bits_y"), "node_y")
         .where(_possible(percent, F.size(F.array_intersect("tokens_x", "tokens_y")), F.col("n_x"), F.col("n_y")))
+        .where(_near_enough(percent, F.col("bits_x"), F.col("bits_y"), F.col("n_x"), F.col("n_y")))
     )
     low = F.col("with_anchor_x") + F.col("with_anchor_y") - F.col("anchor_n_x")
     high = F.least(F.col("n_x") - F.col("with_anchor_x"), F.col("n_y") - F.col("with_anchor_y")) + F.least("with_anchor_x", "with_anchor_y")
