@@ -246,7 +246,7 @@ def jaccard_components(documents: DataFrame, words: int = 4, percent: int = 85)
     columns = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "xy" for c in fields]
     # a node of several sets, which repeated ids make, has no parities and passes
     parities = nodes.groupBy("node").agg(F.when(F.count(F.lit(1)) == 1, F.first("bits")).alias("bits"))
-    mine = rest.select("node").distinct().join(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")), "node").join(parities, "node")
+    mine = written(shared.groupBy("node").agg(F.collect_list("token").alias("tokens")).join(parities, "node"), "mine").hint("merge")
     pairs = (
         x.join(y, skip).select(*columns).distinct()
         .join(mine.toDF("node_x", "tokens_x", "bits_x"), "node_x").join(mine.toDF("node_y", "tokens_y", "bits_y"), "node_y")
