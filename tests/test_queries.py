@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import graphloom.plans.file_queries  # noqa: F401
+import graphloom.plans.model_queries  # noqa: F401
 import graphloom.plans.structure_queries  # noqa: F401
 import graphloom.plans.topology_queries  # noqa: F401
 from graphloom.plans.queries import ORACLE_SQL, QUERIES
