@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+import graphloom.plans.analysis_queries  # noqa: F401
 import graphloom.plans.file_queries  # noqa: F401
 import graphloom.plans.model_queries  # noqa: F401
 import graphloom.plans.structure_queries  # noqa: F401
