@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ class Trie:
         self.root: dict = {}
         self.exact: dict[str, float] = {}
         self.stems: dict[str, float] = {}
-        self.heads: set[str] = set()
+        self.parts: dict[tuple[int, int], set[str]] = {}
         self.tails: set[str] = set()
         for term, stem, weight in terms:
             (self.stems if stem else self.exact)[term] = weight
@@ -63,11 +64,15 @@ class Trie:
             for c in term:
                 node = node.setdefault(c, {})
             node[1 if stem else 0] = (weight, len(term))
-            half = len(term) // 2
-            self.heads.add(term[:half])
-            if not stem:
-                self.tails.add(term[half:])
-        self.sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+            edits = 1 if stem or len(term) < 8 else 2
+            cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
+            for a, b in pairwise(cuts):
+                if b == len(term) and not stem:
+                    self.tails.add(term[a:])
+                    continue
+                for start in range(a - edits, a + edits + 1) if a else (0,):
+                    self.parts.setdefault((start, b - a), set()).add(term[a:b])
+        self.sizes = sorted({len(x) for x in self.tails})
         self.lengths = sorted({len(x) for x in self.stems})
 
     def exactly(self, word: str) -> float:
@@ -81,9 +86,11 @@ class Trie:
     def nearly(self, word: str) -> float:
         """The largest weight of a term of 5 characters or more one edit away (two from 8 characters), less by EDIT for each; 0 if none.
 
-        With one edit, a term's first or second half is left whole: words with neither are passed over at once.
+        A term is cut into one part more than it may take edits, so that one part is left whole, moved by as many places as
+        there are edits at most: at the start for the first part, at the end of the word for the last (a stem's stands inside).
+        Words without any such part are passed over at once.
         """
-        if len(word) < 4 or not (any(word[:n] in self.heads for n in self.sizes[0]) or any(word[-n:] in self.tails for n in self.sizes[1])):
+        if len(word) < 4 or not (any(word[-n:] in self.tails for n in self.sizes) or any(word[a : a + n] in parts for (a, n), parts in self.parts.items())):
             return 0.0
         best, size = 0.0, len(word)
         stack = [(self.root, list(range(size + 1)))]

@@ -310,3 +310,40 @@ def test_toxic_spelling():
     assert scorer.of("an 1d10t here")[1] > 0 and scorer.of("an idjot here")[1] > 0 and scorer.of("a pahtetic one")[1] > 0
     assert scorer.of("the loweischaft")[0] > 0 and scorer.of("plain words only") == (0.0, 0.0)
     assert scorer.of('she wrote "idiot" there')[0] < exact
+
+
+def edit_distances(term, word):
+    """Plain Levenshtein distances of a term to all beginnings of a word."""
+    row = list(range(len(word) + 1))
+    for c in term:
+        new = [row[0] + 1]
+        for k in range(1, len(word) + 1):
+            new.append(min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c)))
+        row = new
+    return row
+
+
+def edited(word):
+    """All words one edit away, with a letter that no term has."""
+    cuts = [(word[:i], word[i:]) for i in range(len(word) + 1)]
+    return {a + b[1:] for a, b in cuts if b} | {a + "x" + b[1:] for a, b in cuts if b} | {a + "x" + b for a, b in cuts} | {a + b[1] + b[0] + b[2:] for a, b in cuts if len(b) > 1}
+
+
+@pytest.mark.parametrize("term", ["idiot", "mongrel", "pathetic", "worthless", "unbelievable"])
+def test_toxic_edits(term):
+    trie = toxicity.Trie([(term, False, 6.0)])
+    most = 2 if len(term) >= 8 else 1
+    once = edited(term)
+    for word in once | {x for w in once for x in edited(w)}:
+        d = edit_distances(term, word)[-1]
+        assert trie.nearly(word) == (6.0 * toxicity.EDIT**d if 0 < d <= most else 0.0), word
+
+
+@pytest.mark.parametrize("stem", ["lowei", "abrute"])
+def test_toxic_stem_edits(stem):
+    trie = toxicity.Trie([(stem, True, 6.0)])
+    assert trie.nearly("lxweischaft" if stem == "lowei" else "axruteness") == 3.0
+    for head in {x for w in edited(stem) for x in edited(w)} | edited(stem):
+        word = head + "schaft"
+        d = min(edit_distances(stem, word)[len(stem) - 1 : len(stem) + 2])
+        assert trie.nearly(word) == (3.0 if d == 1 else 0.0), word
