@@ -5,7 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +19,21 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>
 #: White space of markup; other spaces are text until decoded blocks are trimmed.
 SPACE = re.compile(r"\s+")
 
-#: Fixed values of the markup language: elements inside a line, without an end, of raw text, never shown, and what closes an open p or item.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Fixed values of the markup language: elements inside a line (formulas are text), without an end, of raw text, set in a line with content of their own, and what closes an open p or item.
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+                   "math semantics mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr mstyle merror mpadded mphantom mspace menclose mfenced maction".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp noscript iframe template svg math select button object canvas".split())
+RAW = frozenset("script style textarea title xmp".split())
+EMBEDDED = frozenset("noscript iframe template svg select button object canvas".split())
+#: Where the source text of a formula ends, which isn't shown.
+ANNOTATION = re.compile(r"</annotation(?:-xml)?\s*>|</?math\b", re.I)
+#: A slash at the end of a tag that belongs to an attribute's value.
+VALUE_SLASH = re.compile(r"=\s*[^\s\"'>]+/\Z")
 CLOSES = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "tbody": "tr td th thead tbody", "thead": "tr td th", "tfoot": "tr td th thead tbody"}
 SCOPES = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "table tr", "th": "table tr", "tbody": "table", "thead": "table", "tfoot": "table"}
 
 #: Elements and words in class, id and role that speak for the article or for what surrounds it.
-MAIN_TAGS, OTHER_TAGS = frozenset("article main".split()), frozenset("nav footer aside form header head dialog menu fieldset".split())
+MAIN_TAGS, OTHER_TAGS = frozenset("article main".split()), frozenset("nav footer aside form header head dialog menu fieldset".split()) | EMBEDDED
 MAIN_WORDS = frozenset("article content post entry story main body text".split())
 OTHER_WORDS = frozenset(
     "ad ads advert advertisement adverts advertising sponsor sponsored promo banner sidebar side menu nav navbar navigation breadcrumb breadcrumbs footer header masthead cookie cookies consent notice alert popup modal newsletter subscribe signup login "
@@ -35,6 +41,36 @@ OTHER_WORDS = frozenset(
 )
 
 
+def tags_of(source: str) -> Iterator[tuple[int, int, str, bool, bool, str]]:
+    """Start, end, name, whether an end tag, whether empty by its slash (in svg only), and attributes of each tag; raw text, and source text of formulas, is inside its tag."""
+    at, drawing = 0, 0
+    while m := TAG.search(source, at):
+        start, at = m.span()
+        tag, end, rest = (m[2] or "").lower(), bool(m[1]), m[3] or ""
+        empty = not end and rest.endswith("/") and (drawing > 0 or tag == "svg") and not VALUE_SLASH.search(rest)
+        if tag == "svg" and not empty:
+            drawing = max(0, drawing - 1) if end else drawing + 1
+        elif tag in RAW and not end and not empty:
+            close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
+            at = close.end() if close else len(source)
+        elif tag in ("annotation", "annotation-xml") and not end and (close := ANNOTATION.search(source, at)) and close[0][:3].lower() == "</a":
+            at = close.end()
+        yield start, at, tag, end, empty, rest
+
+
+def closed_in(tags: list[tuple[int, int, str, bool, bool, str]]) -> set[int]:
+    """Starts of the embedded elements that an end tag closes; one that is never closed has no content, rather than all that follows."""
+    open_: dict[str, list[int]] = {}
+    out = set()
+    for start, _, tag, end, empty, _ in tags:
+        if tag in EMBEDDED and not empty:
+            if not end:
+                open_.setdefault(tag, []).append(start)
+            elif open_.get(tag):
+                out.add(open_[tag].pop())
+    return out
+
+
 class Page:
     """Block elements and runs of text of a page, as a tree: parents come before their children."""
 
@@ -50,6 +86,9 @@ class Page:
 
     def _read(self) -> None:
         source, at, open_, run, links, anchor = self.source, 0, [0], [], 0, 0
+        tags = list(tags_of(source))
+        closed = closed_in(tags)
+        around: list[tuple[int, list[str], int, int]] = []  # of embedded elements: depth, and the run of text that goes on after them
 
         def flush() -> None:
             nonlocal links
@@ -65,16 +104,28 @@ class Page:
             run.append(text)
             links += len(text) if anchor else 0
 
-        while m := TAG.search(source, at):
-            if m.start() > at:
-                say(source[at : m.start()])
-            at = m.end()
-            if not m[2]:
+        def leave(depth: int) -> None:
+            nonlocal run, links, anchor
+            while len(open_) > depth:
+                flush()
+                open_.pop()
+                if around and around[-1][0] == len(open_):
+                    _, run, links, anchor = around.pop()
+
+        for start, stop, tag, end, empty, rest in tags:
+            if start > at:
+                say(source[at:start])
+            at = stop
+            if not tag or tag in RAW and not end or tag in ("annotation", "annotation-xml"):
                 continue
-            tag, end = m[2].lower(), bool(m[1])
-            if tag in RAW and not end:
-                close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
-                at = close.end() if close else len(source)
+            if tag in EMBEDDED:
+                if end:
+                    if (k := max((k for k, x in enumerate(open_) if self.tag[x] == tag), default=0)):
+                        leave(k)
+                elif start in closed:
+                    around.append((len(open_), run, links, anchor))
+                    run, links, anchor = [], 0, 0
+                    open_.append(self._add(open_[-1], tag, words_of(rest)))
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -85,34 +136,39 @@ class Page:
             flush()
             anchor = 0
             if end:
-                if any(self.tag[x] == tag for x in open_):
-                    while self.tag[open_.pop()] != tag:
-                        pass
+                if (k := max((k for k, x in enumerate(open_) if self.tag[x] == tag), default=0)):
+                    leave(k)
+                    flush()
                 continue
             if tag not in ("head", "html", "body"):
-                if "p" in (self.tag[open_[-1]],):
-                    open_.pop()
+                if self.tag[open_[-1]] == "p":
+                    leave(len(open_) - 1)
             if tag in CLOSES:
                 shut, scope = CLOSES[tag].split(), SCOPES.get(tag, "").split()
                 for k in range(len(open_) - 1, 0, -1):
                     if self.tag[open_[k]] in scope:
                         break
                     if self.tag[open_[k]] in shut:
-                        del open_[k:]
+                        leave(k)
+                        flush()
                         break
             elif tag == "body":
                 while len(open_) > 1 and self.tag[open_[-1]] == "head":
-                    open_.pop()
-            if tag in VOID:
+                    leave(len(open_) - 1)
+            if tag in VOID or empty:
                 continue
-            found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(m[3]))
-            words = frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else frozenset()
-            open_.append(self._add(open_[-1], tag, words))
+            open_.append(self._add(open_[-1], tag, words_of(rest)))
         if at < len(source):
             say(source[at:])
+        leave(1)
         flush()
 
 
+def words_of(attributes: str) -> frozenset:
+    found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
+    return frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else frozenset()
+
+
 #: What the model looks at. The weights that training starts from and is drawn to.
 FEATURES = {
     "bias": 0.0, "main tag": 6.0, "other tag": -8.0, "main word": 6.0, "other word": -8.0, "text": 0.2,
@@ -178,8 +234,9 @@ def marginals(page: Page, model: Model) -> list[float]:
     up = [0.0] * n  # from a node to its parent
     for i in range(n - 1, 0, -1):
         x = exp(max(-40.0, min(40.0, own[i])))
-        up[i] = log((p10 + p11 * x) / (p00 + p01 * x))
-        own[page.parent[i]] += up[i]
+        if page.tag[i] not in EMBEDDED:  # an icon or a button says nothing of the paragraph that it stands in
+            up[i] = log((p10 + p11 * x) / (p00 + p01 * x))
+            own[page.parent[i]] += up[i]
     for i in range(1, n):
         x = exp(max(-40.0, min(40.0, own[page.parent[i]] - up[i])))
         own[i] += log((p01 + p11 * x) / (p00 + p10 * x))
@@ -196,18 +253,31 @@ def main_text(source: str | None, model: Model) -> str:
 STRAY, INSET = 0.005, 0.25
 
 
-def fit(pages: list[str], rounds: int = 40, ridge: float = 20.0) -> Model:
-    """Node weights and parent-child potentials from pages that name their main part: smoothed counts of label pairs, and logistic regression, drawn to FEATURES, of each label given its parent's."""
-    start = np.array([FEATURES[n] for n in NAMES])
-    counts = np.array([[40.0, 2.0], [2.0, 40.0]])
+def label_counts(pages: Iterable[str]) -> dict[tuple[int, ...], np.ndarray]:
+    """Nodes of either label, by the parent's label and the node's features, on pages that name their main part."""
     rows: dict[tuple[int, ...], np.ndarray] = {}
     for source in pages:
         page = Page(source)
         if (labels := labels_of(page)) is None:
             continue
         for i in range(1, len(labels)):
-            rows.setdefault((labels[page.parent[i]], *features_of(page, i)), np.zeros(2))[labels[i]] += 1
-            counts[labels[page.parent[i]], labels[i]] += page.tag[i] not in MAIN_TAGS
+            if page.tag[i] not in EMBEDDED:
+                rows.setdefault((labels[page.parent[i]], *features_of(page, i)), np.zeros(2))[labels[i]] += 1
+    return rows
+
+
+def fit(pages: Iterable[str]) -> Model:
+    """The model from whole pages."""
+    return fitted(label_counts(pages))
+
+
+def fitted(rows: dict[tuple[int, ...], np.ndarray], rounds: int = 40, ridge: float = 20.0) -> Model:
+    """Node weights and parent-child potentials from counts of labels: smoothed counts of label pairs, and logistic regression, drawn to FEATURES, of each label given its parent's."""
+    start = np.array([FEATURES[n] for n in NAMES])
+    counts = np.array([[40.0, 2.0], [2.0, 40.0]])
+    rows = dict(sorted(rows.items()))
+    for at, n in rows.items():
+        counts[at[0]] += 0 if INDEX["main tag"] in at[1:] else n
     shares = counts / counts.sum(1, keepdims=True)
     stray, inset = max(STRAY, shares[0, 1]), max(INSET, shares[1, 0])
     pair = np.array([[1 - stray, stray], [inset, 1 - inset]])
@@ -228,12 +298,21 @@ def fit(pages: list[str], rounds: int = 40, ridge: float = 20.0) -> Model:
 
 #: Pages that the model is fitted on at most, the first by a hash of page_id.
 TRAINING_PAGES = 400
+TRAINING_TASKS = 16
 
 
 def train_extractor(pages: DataFrame, rows: int = TRAINING_PAGES) -> Model:
-    """The model, from at most `rows` pages: the labels are where article and main elements, and named other parts, stand."""
+    """The model, from at most `rows` whole pages: the labels are where article and main elements, and named other parts, stand. Only counts reach the driver."""
     ids = F.broadcast(pages.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(rows).distinct())
-    return fit([r["html"] for r in pages.join(ids, "page_id", "left_semi").select(F.substring("html", 1, 200_000).alias("html")).where(F.col("html").isNotNull()).limit(rows).collect()])
+    chosen = pages.join(ids, "page_id", "left_semi").where(F.col("html").isNotNull()).select("html").limit(rows).repartition(TRAINING_TASKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            found = label_counts(part.column("html").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([list(k) for k in found], pa.list_(pa.int32())), *(pa.array([int(n[y]) for n in found.values()], pa.int64()) for y in (0, 1))], ["at", "other", "main"])
+
+    counted = chosen.mapInArrow(run, "at array<int>, other long, main long").groupBy("at").agg(F.sum("other").alias("other"), F.sum("main").alias("main"))
+    return fitted({tuple(r["at"]): np.array([r["other"], r["main"]], float) for r in counted.collect()})
 
 
 def extract_pages(pages: DataFrame, model: Model | None = None) -> DataFrame:

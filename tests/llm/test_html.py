@@ -3,6 +3,8 @@
 import html
 import re
 
+import pytest
+
 from graphloom.llm import htmltext
 
 
@@ -44,3 +46,46 @@ def test_hand_written(spark):
     assert htmltext.main_text(PAGE, model) == expected
     assert htmltext.main_text(PAGE.replace("<main>", '<div class="post-content">').replace("</main>", "</div>"), model) == expected
     assert htmltext.main_text("", model) == ""
+
+
+STORY = "The first paragraph of the story, which is long enough to be told apart from menus and such."
+NEXT = "The second paragraph goes on for a while with more words, and it ends here."
+
+
+@pytest.mark.parametrize(
+    ("head", "inside", "foot"),
+    [
+        ('<svg class="icon" viewBox="0 0 1 1"/>', "", "<svg><path d='M0'/></svg>"),
+        ("<math/>", "", "<math><mi>x</mi></math>"),
+        ("<button>Menu", "", ""),
+        ("<button>Menu", "", "<button>Top</button>"),
+        ("<select><option>A<option>B", "", ""),
+        ("<svg><path d='M0'>", "", "</svg>"),
+        ("<svg><style/><title/></svg>", "", ""),
+        ("", "<button>Share", ""),
+        ("", "<button>Share</button>", ""),
+        ("", "<iframe src='x'>", ""),
+        ("", "<template><p>Not shown</p></template>", ""),
+        ("", "<svg><text>Axis</text><path d='M0'/></svg>", ""),
+    ],
+)
+def test_embedded(head, inside, foot):
+    model = htmltext.fit([])
+    page = f"<html><body><header>{head}<a href='/'>Home</a></header><article><p>{STORY}</p>{inside}<p>{NEXT}</p></article><footer>{foot}<p>Rights</p></footer></body></html>"
+    found = htmltext.main_text(page, model).split("\n")
+    assert STORY in found and NEXT in found
+    assert not {"Home", "Menu", "Top", "A", "B", "Axis", "Not shown", "Rights"} & set(found)
+
+
+def test_within_a_line():
+    model = htmltext.fit([])
+    formula = "<math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation encoding='application/x-tex'>E=m</annotation></semantics></math>"
+    page = f"<article><p>The story says that {formula} holds, and that the <svg><path d='M0'/></svg> sign or a <button>Press</button> key tells it.</p></article>"
+    assert htmltext.main_text(page, model) == "The story says that E=m holds, and that the sign or a key tells it."
+
+
+def test_training_reads_whole_pages(spark):
+    page = "<nav>" + "<!-- -->" * 30_000 + f"</nav><article><p>{STORY}</p></article>"
+    frame = spark.createDataFrame([(k, page) for k in range(40)], "page_id long, html string")
+    whole, drawn = htmltext.train_extractor(frame), htmltext.fit([])
+    assert whole == htmltext.fit([page] * 40) and whole != drawn
