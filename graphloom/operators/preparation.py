@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def wide_features(vectors: DataFrame, width: int = 8) -> DataFrame:
-    """(vec_id, y, loop, f0, ..): array features as columns."""
-    return vectors.select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 6 + 5).cast("int").alias("loop"), *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(width)))
+def wide_features(vectors: DataFrame, width: int | None = None) -> DataFrame:
+    """(vec_id, y, loop, f0, ..): array features as columns, the first `width` or else as many as the longest array has; null where an array is shorter."""
+    if width is None:
+        width = max(0, vectors.agg(F.max(F.size("embedding"))).first()[0] or 0)
+    return vectors.select("vec_id", (F.col("label") % 2).alias("y"), (F.col("vec_id") % 6 + 5).cast("int").alias("loop"), *(F.get("embedding", F.lit(k)).cast("double").alias(f"f{k}") for k in range(width)))
+
+
+def feature_names(frame: DataFrame) -> list[str]:
+    """The feature columns of `wide_features`, in order."""
+    return [c for c in frame.columns if re.fullmatch(r"f\d+", c)]
 
 
 def feature_statistics(frame: DataFrame, features: list[str], label: str) -> DataFrame:

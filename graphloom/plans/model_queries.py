@@ -10,51 +10,60 @@ from graphloom.operators import preparation as prep
 from graphloom.plans.queries import query
 from graphloom.sources.collections import table
 
-FEATURES = [f"f{k}" for k in range(8)]
 LOOPS = list(range(5, 11))
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.wide_features(table(spark, sf_dir, "embeddings"), len(FEATURES))
+def _wide(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The feature table and all its features."""
+    rows = prep.wide_features(table(spark, sf_dir, "embeddings"))
+    return rows, prep.feature_names(rows)
 
 
 @query()
 def chain_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.report(md.split_scores(_wide(spark, sf_dir), FEATURES, md.chain_splits(LOOPS)))
+    rows, features = _wide(spark, sf_dir)
+    return md.report(md.split_scores(rows, features, md.chain_splits(LOOPS)))
 
 
 @query()
 def pair_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.report(md.split_scores(_wide(spark, sf_dir), FEATURES, md.pair_splits(LOOPS), "tree"))
+    rows, features = _wide(spark, sf_dir)
+    return md.report(md.split_scores(rows, features, md.pair_splits(LOOPS), "tree"))
 
 
 @query()
 def cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.cross_validated(_wide(spark, sf_dir), "vec_id", FEATURES, learner="logistic")
+    rows, features = _wide(spark, sf_dir)
+    return md.cross_validated(rows, "vec_id", features, learner="logistic")
 
 
 @query()
 def feature_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.importances(_wide(spark, sf_dir), FEATURES)
+    rows, features = _wide(spark, sf_dir)
+    return md.importances(rows, features)
 
 
 @query()
 def feature_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = {"first": FEATURES[:4], "second": FEATURES[4:]}
-    return md.ablation(_wide(spark, sf_dir), groups, F.col("loop") < 10, F.col("loop") == 10, "tree")
+    rows, features = _wide(spark, sf_dir)
+    half = len(features) // 2
+    groups = {"first": features[:half], "second": features[half:]}
+    return md.ablation(rows, groups, F.col("loop") < 10, F.col("loop") == 10, "tree")
 
 
 @query()
 def bootstrap_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.bootstrap_scores(_wide(spark, sf_dir), "vec_id", FEATURES)
+    rows, features = _wide(spark, sf_dir)
+    return md.bootstrap_scores(rows, "vec_id", features)
 
 
 @query()
 def cluster_elbow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return md.cluster_costs(_wide(spark, sf_dir), FEATURES)
+    rows, features = _wide(spark, sf_dir)
+    return md.cluster_costs(rows, features)
 
 
 @query()
 def value_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _wide(spark, sf_dir).withColumn("y", F.col("y").cast("double"))
-    return md.regression_metrics(md.value_scores(rows, FEATURES, F.col("loop") < 10, F.col("loop") == 10))
+    rows, features = _wide(spark, sf_dir)
+    return md.regression_metrics(md.value_scores(rows.withColumn("y", F.col("y").cast("double")), features, F.col("loop") < 10, F.col("loop") == 10))

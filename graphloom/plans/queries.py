@@ -200,19 +200,19 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT 'f{k}' AS feature, round(corr(f{k}, y), 6) AS corr, round(avg(f{k}), 6) AS mean, round(stddev_pop(f{k}), 6) AS std, round(min(f{k}), 6) AS low, round(max(f{k}), 6) AS high, round(avg(CAST(f{k} = 0 AS INT)), 6) AS zeros FROM wide" for k in range(8)))
 def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.feature_statistics(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(8)], "y")
+    return prep.feature_statistics(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)], "y")
 
 
 @query(f"WITH {WIDE} SELECT vec_id, " + ", ".join(f"round((f{k} - avg(f{k}) OVER (PARTITION BY loop)) / stddev_pop(f{k}) OVER (PARTITION BY loop), 6) AS f{k}" for k in range(8)) + " FROM wide")
 def standard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.standardised(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(8)], ["loop"]).select("vec_id", *(f"f{k}" for k in range(8)))
+    return prep.standardised(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)], ["loop"]).select("vec_id", *(f"f{k}" for k in range(8)))
 
 
 @query(f"WITH {WIDE} SELECT vec_id, y, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)), 6) AS weight FROM wide")
 def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.balanced_weights(prep.wide_features(table(spark, sf_dir, "embeddings")), "y").select("vec_id", "y", "weight")
+    return prep.balanced_weights(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), "y").select("vec_id", "y", "weight")
 
 
 @query(f"WITH {WIDE}, l AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS i, f{k} AS x FROM wide" for k in range(8)) + ") SELECT a.i, b.i AS j, round(corr(a.x, b.x), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2")
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.correlations(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(8)])
+    return prep.correlations(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)])
