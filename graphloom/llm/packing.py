@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -17,11 +18,15 @@ from graphloom.llm.common import range_width, ranked, slices, written
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: A run of white space so long that the backtracking of `tiktoken` would overflow its stack at some hundred thousands.
+LONG_GAP = re.compile(r"(?<!\s)\s{20000}")
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, for a byte-level BPE file of the `tokenizers` library.
 
     `tiktoken` runs the same merges from the file's vocabulary, whose ids are the merges' ranks, in a quarter of the time; a
-    text that holds an added token goes to `tokenizers` itself. Tests hold the ids of one against the other.
+    text that holds an added token or a LONG_GAP goes to `tokenizers` itself. Tests hold the ids of one against the other.
     """
 
     def __init__(self, path: str):
@@ -37,7 +42,7 @@ class Encoder:
         self.fast = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if any(x in text for x in self.added):
+        if any(x in text for x in self.added) or (len(text) >= 20_000 and LONG_GAP.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
@@ -125,7 +130,8 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces (doc_id, piece, length, ids_crc32, any others).
 
     The driver gets one count for each length, at most `capacity` of them, and sends back the places of each
-    length's pieces by rank. Ranks come from ranges of doc_id, so no window holds all pieces of a length.
+    length's pieces by rank: each filling uses up a length, so they are at most `capacity` fillings of `capacity` pieces, whatever
+    the input. Ranks come from ranges of doc_id, so no window holds all pieces of a length.
     """
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

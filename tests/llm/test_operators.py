@@ -221,6 +221,17 @@ def test_packing(documents, rows):
     assert packing.pack_documents(documents.limit(0), tokenizer_path()).count() == 0
 
 
+def test_token_ids():
+    encoder, alike = packing.Encoder(tokenizer_path()), 0
+    texts = [" " * 1_000_000, " " * 300_000 + "a", "\n" * 400_000 + " x", "." * 200_000, "a" * 200_000, "\t " * 150_000 + "é", "a" + " " * 19_999 + "b", "a" + " " * 20_000 + "b"]
+    import pyarrow.parquet as pq
+
+    texts += [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()]
+    for t in texts:
+        alike += encoder.encode(t) == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert alike == len(texts)
+
+
 def test_best_two_fit():
     bins = packing.best_two_fit({6: 2, 5: 1, 4: 3, 3: 1, 2: 1}, 10)
     counts = defaultdict(int)
