@@ -35,3 +35,10 @@ def choose(n: Column, k: int) -> Column:
     for i in range(k):
         out = out * (n.cast("double") - i) / (i + 1)
     return F.when(n >= k, out)
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson correlation over rows where both are set, as an aggregate; null (not an error) where either is constant."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)

@@ -24,13 +24,14 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def degree_summary(edges: DataFrame) -> DataFrame:
-    """Vertices, edges, degree extremes, mean, population deviation, adjusted skewness, density, edges to a vertex."""
-    n, m = F.col("n_nodes"), F.col("n_edges")
+    """Vertices, edges, degree extremes, mean, population deviation, adjusted skewness (from exact power sums), density, edges to a vertex."""
+    n, m, d = F.col("n_nodes"), F.col("n_edges"), F.col("deg")
+    square, cube = n * F.col("_s2") - F.col("_s1") * F.col("_s1"), n * n * F.col("_s3") - 3 * n * F.col("_s1") * F.col("_s2") + 2 * F.col("_s1") * F.col("_s1") * F.col("_s1")
     return (
         degrees(edges).groupBy("graph_id")
-        .agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("deg") / 2).cast("long").alias("n_edges"), F.min("deg").alias("deg_min"), F.max("deg").alias("deg_max"), F.avg("deg").alias("deg_avg"), F.stddev_pop("deg").alias("deg_std"), F.skewness("deg").alias("_skew"))
-        .withColumn("deg_skew", F.when(n > 2, F.col("_skew") * F.sqrt(n * (n - 1)) / (n - 2)))
-        .withColumn("density", ratio(2 * m, n * (n - 1))).withColumn("edges_per_node", ratio(m, n)).drop("_skew")
+        .agg(F.count(F.lit(1)).alias("n_nodes"), (F.sum("deg") / 2).cast("long").alias("n_edges"), F.min("deg").alias("deg_min"), F.max("deg").alias("deg_max"), F.avg("deg").alias("deg_avg"), F.stddev_pop("deg").alias("deg_std"), F.sum(d).alias("_s1"), F.sum(d * d).alias("_s2"), F.sum(d * d * d).alias("_s3"))
+        .withColumn("_var", square.cast("double")).withColumn("deg_skew", F.when((n > 2) & (square > 0), cube.cast("double") / (F.col("_var") * F.sqrt("_var")) * F.sqrt((n * (n - 1)).cast("double")) / (n - 2)))
+        .withColumn("density", ratio(2 * m, n * (n - 1))).withColumn("edges_per_node", ratio(m, n)).drop("_s1", "_s2", "_s3", "_var")
     )
 
 
@@ -43,10 +44,11 @@ def degree_entropy(edges: DataFrame) -> DataFrame:
 
 
 def assortativity(edges: DataFrame) -> DataFrame:
-    """Correlation of the degrees at both ends; null if all degrees are equal."""
-    deg = degrees(edges)
+    """Correlation of the degrees at both ends, from exact sums; null if all degrees are equal."""
+    deg, x, y = degrees(edges), F.col("a"), F.col("b")
     ends = darts(edges).join(deg.select("graph_id", F.col("v").alias("src"), F.col("deg").alias("a")), ["graph_id", "src"]).join(deg.select("graph_id", F.col("v").alias("dst"), F.col("deg").alias("b")), ["graph_id", "dst"])
-    return ends.groupBy("graph_id").agg(F.when(F.min("a") < F.max("a"), F.corr("a", "b")).alias("assortativity"))
+    sums = ends.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.sum(x * y).alias("p"))
+    return sums.select("graph_id", ratio(F.col("n") * F.col("p") - F.col("s") * F.col("s"), F.col("n") * F.col("q") - F.col("s") * F.col("s")).alias("assortativity"))
 
 
 def degree_gini(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def perfect_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.perfect_cut(predictions(spark, sf_dir), ["loop"])
 
 
-FEATURES = [f"f{k}" for k in range(8)]
+FEATURES = [f"f{k}" for k in range(64)]
 
 
 @query(f"WITH {WIDE}, w AS (SELECT " + ", ".join(f"covar_samp({c}, y) AS w{c}" for c in FEATURES) + " FROM wide), t AS (SELECT y, " + " + ".join(f"{c} * w{c}" for c in FEATURES) + " AS t FROM wide, w) SELECT round(corr(t, y), 6) AS corr, round(regr_r2(y, t), 6) AS r2 FROM t")

@@ -26,7 +26,7 @@ CODEG = DEG + ", codeg AS (SELECT x.graph_id, x.dst AS a, y.dst AS b, count(*) A
 NUM = """num AS (SELECT n.* FROM (SELECT CAST(l_orderkey // 6 AS BIGINT) AS graph_id, CAST(least(l_suppkey % 12, l_partkey % 12) AS INT) AS u, CAST(greatest(l_suppkey % 12, l_partkey % 12) AS INT) AS v, count(*) AS mult
  FROM lineitem WHERE l_linenumber % 4 = 0 AND l_suppkey % 12 <> l_partkey % 12 GROUP BY 1, 2, 3) n WHERE NOT EXISTS (SELECT 1 FROM den d WHERE d.graph_id = n.graph_id AND d.u = n.u AND d.v = n.v))"""
 PRED = "pred AS (SELECT l_orderkey AS id, l_linenumber AS pos, CAST(l_linenumber AS INT) AS loop, CAST(l_returnflag = 'R' AS INT) AS y, round(CAST(l_discount AS DOUBLE) * 10, 6) AS p, round(CAST(l_tax AS DOUBLE) * 10, 6) AS p2 FROM lineitem)"
-WIDE = "wide AS (SELECT vec_id, label % 2 AS y, CAST(5 + vec_id % 6 AS INT) AS loop, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(8)) + " FROM embeddings)"
+WIDE = "wide AS (SELECT vec_id, label % 2 AS y, CAST(5 + vec_id % 6 AS INT) AS loop, " + ", ".join(f"CAST(embedding[{k + 1}] AS DOUBLE) AS f{k}" for k in range(64)) + " FROM embeddings)"
 
 
 def query(oracle: str | None = None):
@@ -41,8 +41,9 @@ def query(oracle: str | None = None):
     return register
 
 
-@query(f"WITH {DEG}, s AS (SELECT graph_id, count(*) AS n, CAST(sum(deg) // 2 AS BIGINT) AS m, min(deg) AS lo, max(deg) AS hi, avg(deg) AS mean, stddev_pop(deg) AS sd FROM deg GROUP BY 1), k AS (SELECT d.graph_id, sum(power(d.deg - s.mean, 3)) / any_value(s.n) AS m3 FROM deg d JOIN s USING (graph_id) GROUP BY 1) "
-       "SELECT graph_id, n AS n_nodes, m AS n_edges, lo AS deg_min, hi AS deg_max, round(mean, 6) AS deg_avg, round(sd, 6) AS deg_std, CASE WHEN n > 2 AND sd > 0 THEN round(m3 / power(sd, 3) * sqrt(n * (n - 1)) / (n - 2), 6) END AS deg_skew, round(2.0 * m / (n * (n - 1)), 6) AS density, round(m / n, 6) AS edges_per_node FROM s JOIN k USING (graph_id)")
+@query(f"WITH {DEG}, s AS (SELECT graph_id, count(*) AS n, CAST(sum(deg) // 2 AS BIGINT) AS m, min(deg) AS lo, max(deg) AS hi, avg(deg) AS mean, stddev_pop(deg) AS sd, sum(deg) AS s1, sum(deg * deg) AS s2, sum(deg * deg * deg) AS s3 FROM deg GROUP BY 1), "
+       "k AS (SELECT *, CAST(n * s2 - s1 * s1 AS DOUBLE) AS sq, CAST(n * n * s3 - 3 * n * s1 * s2 + 2 * s1 * s1 * s1 AS DOUBLE) AS cu FROM s) "
+       "SELECT graph_id, n AS n_nodes, m AS n_edges, lo AS deg_min, hi AS deg_max, round(mean, 6) AS deg_avg, round(sd, 6) AS deg_std, CASE WHEN n > 2 AND sq > 0 THEN round(cu / (sq * sqrt(sq)) * sqrt(CAST(n * (n - 1) AS DOUBLE)) / (n - 2), 6) END AS deg_skew, round(2.0 * m / (n * (n - 1)), 6) AS density, round(m / n, 6) AS edges_per_node FROM k")
 def degree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.degree_summary(den_edges(spark, sf_dir))
 
@@ -52,7 +53,7 @@ def degree_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.degree_entropy(den_edges(spark, sf_dir))
 
 
-@query(f"WITH {DEG} SELECT d.graph_id, CASE WHEN min(a.deg) < max(a.deg) THEN round(corr(a.deg, b.deg), 6) END AS assortativity FROM darts d JOIN deg a ON a.graph_id = d.graph_id AND a.v = d.src JOIN deg b ON b.graph_id = d.graph_id AND b.v = d.dst GROUP BY 1")
+@query(f"WITH {DEG}, s AS (SELECT d.graph_id, count(*) AS n, sum(a.deg) AS s, sum(a.deg * a.deg) AS q, sum(a.deg * b.deg) AS p FROM darts d JOIN deg a ON a.graph_id = d.graph_id AND a.v = d.src JOIN deg b ON b.graph_id = d.graph_id AND b.v = d.dst GROUP BY 1) SELECT graph_id, CASE WHEN n * q <> s * s THEN round(CAST(n * p - s * s AS DOUBLE) / CAST(n * q - s * s AS DOUBLE), 6) END AS assortativity FROM s")
 def degree_assortativity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.assortativity(den_edges(spark, sf_dir))
 
@@ -198,21 +199,21 @@ def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.stratified_folds(table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 2).alias("y")), "vec_id", ["y"])
 
 
-@query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT 'f{k}' AS feature, round(corr(f{k}, y), 6) AS corr, round(avg(f{k}), 6) AS mean, round(stddev_pop(f{k}), 6) AS std, round(min(f{k}), 6) AS low, round(max(f{k}), 6) AS high, round(avg(CAST(f{k} = 0 AS INT)), 6) AS zeros FROM wide" for k in range(8)))
+@query(f"WITH {WIDE} " + " UNION ALL ".join(f"SELECT 'f{k}' AS feature, round(corr(f{k}, y), 6) AS corr, round(avg(f{k}), 6) AS mean, round(stddev_pop(f{k}), 6) AS std, round(min(f{k}), 6) AS low, round(max(f{k}), 6) AS high, round(avg(CAST(f{k} = 0 AS INT)), 6) AS zeros FROM wide" for k in range(64)))
 def feature_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.feature_statistics(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)], "y")
+    return prep.feature_statistics(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(64)], "y")
 
 
-@query(f"WITH {WIDE} SELECT vec_id, " + ", ".join(f"round((f{k} - avg(f{k}) OVER (PARTITION BY loop)) / stddev_pop(f{k}) OVER (PARTITION BY loop), 6) AS f{k}" for k in range(8)) + " FROM wide")
+@query(f"WITH {WIDE} SELECT vec_id, " + ", ".join(f"round((f{k} - avg(f{k}) OVER (PARTITION BY loop)) / stddev_pop(f{k}) OVER (PARTITION BY loop), 6) AS f{k}" for k in range(64)) + " FROM wide")
 def standard_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.standardised(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)], ["loop"]).select("vec_id", *(f"f{k}" for k in range(8)))
+    return prep.standardised(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(64)], ["loop"]).select("vec_id", *(f"f{k}" for k in range(64)))
 
 
 @query(f"WITH {WIDE} SELECT vec_id, y, round(count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY y)), 6) AS weight FROM wide")
 def balanced_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.balanced_weights(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), "y").select("vec_id", "y", "weight")
+    return prep.balanced_weights(prep.wide_features(table(spark, sf_dir, "embeddings")), "y").select("vec_id", "y", "weight")
 
 
-@query(f"WITH {WIDE}, l AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS i, f{k} AS x FROM wide" for k in range(8)) + ") SELECT a.i, b.i AS j, round(corr(a.x, b.x), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2")
+@query(f"WITH {WIDE}, l AS (" + " UNION ALL ".join(f"SELECT vec_id, {k} AS i, f{k} AS x FROM wide" for k in range(64)) + ") SELECT a.i, b.i AS j, round(corr(a.x, b.x), 6) AS corr FROM l a JOIN l b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY 1, 2")
 def feature_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.correlations(prep.wide_features(table(spark, sf_dir, "embeddings"), 8), [f"f{k}" for k in range(8)])
+    return prep.correlations(prep.wide_features(table(spark, sf_dir, "embeddings")), [f"f{k}" for k in range(64)])

@@ -72,7 +72,7 @@ def neighbourhood_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.pooled(tp.neighbourhood_sums(edges, degrees(edges).withColumnRenamed("deg", "h")))
 
 
-TWINS = f"{DARTS}, third AS (SELECT e.graph_id, e.u AS p, e.v AS q, a.dst AS x FROM den e JOIN darts a ON a.graph_id = e.graph_id AND a.src = e.u JOIN darts b ON b.graph_id = e.graph_id AND b.src = e.v AND b.dst = a.dst), twin AS (SELECT s.graph_id, s.p, s.q, s.x, t.x AS y FROM third s JOIN third t ON t.graph_id = s.graph_id AND t.p = s.p AND t.q = s.q AND s.x < t.x)"
+TWINS = f"{DARTS}, third AS MATERIALIZED (SELECT e.graph_id, e.u AS p, e.v AS q, a.dst AS x FROM den e JOIN darts a ON a.graph_id = e.graph_id AND a.src = e.u JOIN darts b ON b.graph_id = e.graph_id AND b.src = e.v AND b.dst = a.dst), twin AS (SELECT s.graph_id, s.p, s.q, s.x, t.x AS y FROM third s JOIN third t ON t.graph_id = s.graph_id AND t.p = s.p AND t.q = s.q AND s.x < t.x)"
 
 
 @query(f"WITH {TWINS} SELECT graph_id, p, q, x, y FROM twin")
