@@ -71,4 +71,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_exact_top_k, op2_decontamination, op3_suffix_dedup, op4_toxicity, op5_html_extraction, op6_jaccard_join, op7_quality, op8_best_fit_packing, op9_line_dedup, op10_sharding)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _low(text: str) -> str:
+    return f"translate({text}, '{_UPPER}', '{_LOWER}')"
+
+
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS t FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.t, c.t) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INT) AS rank, vec_id, score FROM r WHERE place <= 5
+"""
+
+_CONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_low("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({_low("coalesce(text, '')")}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(0, len(w) - least(len(w), 13) + 1)) AS a FROM b WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, n, array_to_string(w[a + 1:a + n], ' ') AS g FROM i),
+p AS (SELECT doc_id, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS a FROM d, (SELECT DISTINCT n FROM g)),
+m AS (SELECT p.doc_id, p.a, p.n, g.item FROM (SELECT doc_id, a, n, array_to_string(w[a + 1:a + n], ' ') AS g FROM p) p JOIN g ON g.n = p.n AND g.g = p.g),
+h AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(a, a + n)) AS at FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY 1)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_LINES = f"""
+WITH x AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
+l AS (SELECT doc_id, unnest(x) AS line, unnest(range(0, len(x))) AS pos FROM x),
+k AS (SELECT *, {_low("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+r AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+o AS (SELECT doc_id, line, pos, last IS NOT NULL AND last <> doc_id AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM o GROUP BY 1
+"""
+
+#: The others can't be written in SQL, or are too slow on whole tables; tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {"op1_exact_top_k": _TOP_K, "op2_decontamination": _CONTAMINATION, "op9_line_dedup": _LINES}
