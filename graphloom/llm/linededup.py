@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import aside, slices, with_fields
+from graphloom.llm.common import aside, slices, with_fields, written
 
 #: White space that is stripped from a line's ends.
 SPACE = " \t\n\x0b\x0c\r"
@@ -19,6 +19,8 @@ SPACE = " \t\n\x0b\x0c\r"
 FILTER_BITS = 1 << 26
 #: Filters travel and merge in chunks of so many bits.
 CHUNK_BITS = 1 << 20
+#: A key with at least this part of all repeated lines is hot: there are at most so many, and their verdicts (24 bytes each) are broadcast.
+HOT = 4096
 #: Partial filters of one chunk first merge in so many groups.
 FAN = 16
 
@@ -126,7 +128,7 @@ def _suspects(packed, least: int, bits: int):
                 continue
             places = _places(keys, bits)
             kept = np.flatnonzero(held(places[:, 0]) & held(places[:, 1]))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in kept], pa.int64()), pa.array([keys[i] for i in kept], pa.string())], ["doc_id", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in kept], pa.int64()), pa.array([xxhash.xxh3_128_digest(keys[i]) for i in kept], pa.binary())], ["doc_id", "digest"])
 
     return run
 
@@ -165,9 +167,9 @@ def dedup_lines(documents: DataFrame, least: int = 20, documents_least: int = 3,
     replaced by the SHA-256 of what stays.
 
     Two passes read the texts for the filters and for the suspects; only suspects (keys that the filter of
-    twice-seen keys holds) shuffle. Counting combines on the map side, so a line in a third of all documents
-    costs one row a task; the join that spreads the verdict is a plain equi-join, which adaptive execution
-    splits if skewed.
+    twice-seen keys holds) shuffle, as 128-bit digests, which are written once: two of 10 ** 12 keys share one with odds of
+    some 10 ** -15. Counting combines on the map side, so a line in a third of all documents
+    costs one row a task; the verdicts on hot keys, at most HOT of them, are broadcast, and those on others are joined by digest.
 
     A null or empty text is one empty line and is left as it is. Rows with equal doc_id count as documents of
     their own, and all keep the line if theirs is the largest id. A null doc_id is smaller than any other; if
@@ -177,26 +179,22 @@ def dedup_lines(documents: DataFrame, least: int = 20, documents_least: int = 3,
     documents, back = aside(documents, ("doc_id", "text"), ("n_lines", "n_dropped"))
     columns = documents.columns
     packed = spark.sparkContext.broadcast(twice_seen(documents, least, bits).tobytes())
-    suspects = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_suspects(packed, least, bits), "doc_id long, key string")
-    repeated = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") >= documents_least).where(F.col("_last").isNotNull())
+    suspects = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_suspects(packed, least, bits), "doc_id long, digest binary"), "suspects")
+    repeated = written(suspects.groupBy("digest").agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("_last")).where(F.col("_n") >= documents_least).where(F.col("_last").isNotNull()), "repeated")
+    total = repeated.agg(F.sum("_n")).first()[0] or 0
+    hot = F.broadcast(repeated.where(F.col("_n") * HOT >= total).select("digest", "_last"))
+    others = suspects.join(hot.select("digest"), "digest", "left_anti").join(repeated.where(F.col("_n") * HOT < total).select("digest", "_last"), "digest")
     drops = (
-        suspects.join(repeated, "key")
+        suspects.join(hot, "digest").union(others)
         .where(~F.col("doc_id").eqNullSafe(F.col("_last")))
-        .select("doc_id", "key")
-        .mapInArrow(_digests, "doc_id long, digest binary")
         .groupBy("doc_id")
         .agg(F.collect_set("digest").alias("_drop"))
         .withColumnRenamed("doc_id", "_doc")
-    )
+    )
     joined = documents.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")), "left").select(*columns, "_drop")
     return back(joined.mapInArrow(_apply(least, digest, columns), with_fields(documents, "n_lines long, n_dropped long")))
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(k) for k in batch.column("key").to_pylist()], pa.binary())], ["doc_id", "digest"])
-
-
 def line_dedup_report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped and kept_sha256 of every document."""
     done = dedup_lines(documents.select("doc_id", "text"), digest=True)
