@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import slices
+from graphloom.llm.common import slices, written
 
 #: Bytes of the pieces whose least hash anchors a string.
 PIECE = 24
@@ -314,7 +314,7 @@ def remove_repeats(documents: DataFrame, length: int = 100, digest: bool = True)
     """
     texts = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text")
     anchors = texts.mapInArrow(_anchored(length), "anchor long, context long, doc long, at long, many int")
-    sifted = anchors.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "at").mapInArrow(_sifted, "anchor long, doc long, at long, many int, asked boolean")
+    sifted = written(anchors.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "at").mapInArrow(_sifted, "anchor long, doc long, at long, many int, asked boolean"), "sifted")
     asked = sifted.where("asked").groupBy("doc").agg(F.collect_list(F.struct("anchor", "at", "many")).alias("_asked"))
     contexts = texts.join(asked, texts["doc_id"] == asked["doc"]).select("doc_id", "text", "_asked").mapInArrow(_contexts(length), "anchor long, doc long, at long, many int, bytes binary")
     compared = contexts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_contexts(length), "doc long, at long, many long")
