@@ -17,7 +17,7 @@ from graphloom.llm.common import slices, written
 #: Documents that hold a shingle which goes behind the rarer ones of its set, and how many such shingles are told apart at most (10 bytes each, on the driver and in every worker).
 FREQUENT, FREQUENT_MOST = 8, 1 << 21
 #: Shingles that one task counts before it passes them on, and that a bucket of the count holds at most on the average.
-COUNTED, BUCKET = 1 << 22, 1 << 22
+COUNTED, BUCKET = 1 << 20, 1 << 22
 #: Nodes of a list from which each of them is compared with a leader, even if the two can't link: the others derive from that.
 CROWD = 16
 #: Bits of a set's parities: a bit tells whether an odd number of its shingles have that hash.
@@ -95,8 +95,12 @@ def _counted(words: int, bits: int):
     """Shingles of whole documents as 32-bit rests in 2 ** `bits` buckets, by the top bits of their hashes."""
 
     def passed(found: list[np.ndarray]) -> pa.RecordBatch:
-        keys = np.sort(np.concatenate(found)) >> np.uint64(32 - bits)
-        bucket, rest = keys >> np.uint64(32), keys.astype(np.uint32)
+        keys = np.concatenate(found)
+        found.clear()
+        keys.sort()
+        keys >>= np.uint64(32 - bits)
+        rest = keys.astype(np.uint32)
+        bucket = np.right_shift(keys, np.uint64(32), out=keys)
         at = np.flatnonzero(np.diff(bucket, prepend=np.uint64(1 << 63)))
         ends = [*at[1:].tolist(), len(rest)]
         return pa.RecordBatch.from_arrays([pa.array(bucket[at].astype(np.int64)), pa.array([rest[a:b].tobytes() for a, b in zip(at.tolist(), ends, strict=True)], pa.binary())], ["bucket", "rests"])
@@ -109,7 +113,7 @@ def _counted(words: int, bits: int):
                 n += len(s)
             if n >= COUNTED:
                 yield passed(found)
-                found, n = [], 0
+                n = 0
         if n:
             yield passed(found)
 
