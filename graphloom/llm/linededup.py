@@ -42,7 +42,7 @@ def _places(keys: list[str], bits: int) -> np.ndarray:
 
 def _partial_filters(least: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice, any_rows = np.zeros(bits, bool), np.zeros(bits, bool), False
+        once, twice, any_rows = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), False
         for part in slices(batches, "text"):
             keys: list[str] = []
             for text in part.column("text").to_pylist():
@@ -51,15 +51,16 @@ def _partial_filters(least: int, bits: int):
                 continue
             any_rows = True
             places, first, counts = np.unique(_places(keys, bits), axis=0, return_index=True, return_counts=True)
-            again = (counts > 1) | (once[places[:, 0]] & once[places[:, 1]])
-            twice[places[again].ravel()] = True
-            once[places.ravel()] = True
+            at, bit = places >> 3, (128 >> (places & 7)).astype(np.uint8)
+            again = (counts > 1) | ((once[at] & bit) > 0).all(1)
+            np.bitwise_or.at(twice, at[again].ravel(), bit[again].ravel())
+            np.bitwise_or.at(once, at.ravel(), bit.ravel())
         if not any_rows:
             return
         task = xxhash.xxh3_64_intdigest(once.tobytes()) % FAN
-        rows = []
+        rows, size = [], min(bits, CHUNK_BITS) // 8
         for chunk in range(bits // CHUNK_BITS or 1):
-            a, b = (np.packbits(x[chunk * CHUNK_BITS : (chunk + 1) * CHUNK_BITS]) for x in (once, twice))
+            a, b = (x[chunk * size : (chunk + 1) * size] for x in (once, twice))
             if a.any():
                 rows.append((chunk, task, _thin(a), _thin(b)))
         for i in range(0, len(rows), 16):
