@@ -20,7 +20,8 @@ TRAINING_ROWS = 16_000
 #: Models that are trained side by side, each on its share of the rows, and then averaged.
 SHARES = 8
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
-REMEMBERED = 500_000
+#: Hashes of tokens that a task remembers.
+REMEMBERED = 1 << 17
 #: Stands for any word that follows itself.
 REPEAT = xxhash.xxh3_64_intdigest("\0repeat") >> 2
 
