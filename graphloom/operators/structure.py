@@ -144,24 +144,35 @@ def cut_counts(edges: DataFrame) -> DataFrame:
     return points.join(bridges, "graph_id").select("graph_id", "cut_points", "bridges", (F.col("cut_points") / F.col("n")).alias("cut_share"), (F.col("bridges") / F.col("m")).alias("bridge_share"))
 
 
-def induced_classes(edges: DataFrame, k: int) -> DataFrame:
-    """(graph_id, n_edges, degrees, triangles, sets): connected induced subgraphs on `k` (4 or 5) vertices.
-
-    Edges, sorted degrees and triangles tell all connected graphs of up to five vertices apart. Vertex sets come from
-    row-local sequences; the counts combine before the shuffle, in which graphs already sit by graph_id.
-    """
+def _induced_sets(edges: DataFrame, k: int) -> DataFrame:
+    """graph_id, vertices v1 < v2 < .. of each set of `k` none of which is alone in it, and their neighbours within the set as masks mv1, mv2, ..; some sets are not connected."""
     rows = neighbour_masks(edges)
     for i in range(1, k + 1):
         low = f"v{i - 1} + 1" if i > 1 else "0"
         rows = rows.withColumn(f"v{i}", F.explode(F.expr(f"if({low} > size(nbr) - {k - i + 1}, array(), sequence({low}, size(nbr) - {k - i + 1}))")))
     names = [f"v{i}" for i in range(1, k + 1)]
     rows = rows.select("graph_id", F.expr(" | ".join(f"shiftleft(1L, {v})" for v in names)).alias("_set"), *(F.expr(f"nbr[{v}]").alias(f"m{v}") for v in names), *names)
-    rows = rows.select("graph_id", "_set", *(F.expr(f"m{v} & _set").alias(f"m{v}") for v in names), *names)
+    rows = rows.select("graph_id", *(F.expr(f"m{v} & _set").alias(f"m{v}") for v in names), *names)
     rows = rows.where(" and ".join(f"m{v} <> 0" for v in names))
     meets = " + ".join(f"if(getbit(m{a}, {b}) = 1, bit_count(m{a} & m{b}), 0)" for i, a in enumerate(names) for b in names[i + 1 :])
-    rows = rows.select("graph_id", F.sort_array(F.array(*(F.expr(f"bit_count(m{v})") for v in names))).alias("_d"), F.expr(f"({meets}) div 3").alias("triangles"))
-    rows = rows.select("graph_id", F.expr("aggregate(_d, 0, (x, y) -> x + y) div 2").alias("n_edges"), F.array_join(F.col("_d").cast("array<string>"), "").alias("degrees"), "triangles")
-    return rows.where(f"n_edges >= {k - 1} and not (n_edges = {k - 1} and triangles > 0)").groupBy("graph_id", "n_edges", "degrees", "triangles").agg(F.count(F.lit(1)).alias("sets"))
+    rows = rows.withColumn("_d", F.sort_array(F.array(*(F.expr(f"bit_count(m{v})") for v in names)))).withColumn("triangles", F.expr(f"({meets}) div 3"))
+    rows = rows.withColumn("n_edges", F.expr("aggregate(_d, 0, (x, y) -> x + y) div 2")).withColumn("degrees", F.array_join(F.col("_d").cast("array<string>"), ""))
+    return rows.where(f"n_edges >= {k - 1} and not (n_edges = {k - 1} and triangles > 0)").drop("_d")
+
+
+def induced_classes(edges: DataFrame, k: int) -> DataFrame:
+    """(graph_id, n_edges, degrees, triangles, sets): connected induced subgraphs on `k` (4 or 5) vertices.
+
+    Edges, sorted degrees and triangles tell all connected graphs of up to five vertices apart. Vertex sets come from
+    row-local sequences; the counts combine before the shuffle, in which graphs already sit by graph_id.
+    """
+    return _induced_sets(edges, k).groupBy("graph_id", "n_edges", "degrees", "triangles").agg(F.count(F.lit(1)).alias("sets"))
+
+
+def vertex_orbits(edges: DataFrame) -> DataFrame:
+    """(graph_id, v, degrees, own, sets): the connected induced 4-vertex sets that hold the vertex, by their class and the vertex's degree in them, which tell all eleven orbits apart."""
+    each = F.array(*(F.struct(F.col(f"v{i}").alias("v"), F.expr(f"bit_count(mv{i})").alias("own")) for i in range(1, 5)))
+    return _induced_sets(edges, 4).select("graph_id", "degrees", F.inline(each)).groupBy("graph_id", "v", "degrees", "own").agg(F.count(F.lit(1)).alias("sets"))
 
 
 #: Connected classes on four vertices by their sorted degrees.
@@ -187,6 +198,19 @@ def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     return out
 
 
+def cycle_membership(edges: DataFrame, longest: int = 5) -> DataFrame:
+    """(graph_id, v, cycles, mean_length, max_length): simple cycles of 3 to `longest` vertices through each vertex that is on one."""
+    d = darts(edges).toDF("graph_id", "last", "next")
+    paths = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"), F.array("u", "v").alias("seen"))
+    closing = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"))
+    out = None
+    for length in range(3, longest + 1):
+        paths = paths.join(d, ["graph_id", "last"]).where("next > a and not array_contains(seen, next)").select("graph_id", "a", F.col("next").alias("last"), F.expr("concat(seen, array(next))").alias("seen"))
+        met = paths.join(closing, ["graph_id", "a", "last"], "left_semi").select("graph_id", F.explode("seen").alias("v")).groupBy("graph_id", "v").agg(F.expr("count(1) div 2").alias("k")).withColumn("length", F.lit(length))
+        out = met if out is None else out.union(met)
+    return out.groupBy("graph_id", "v").agg(F.sum("k").alias("cycles"), (F.sum(F.col("k") * F.col("length")) / F.sum("k")).alias("mean_length"), F.max("length").alias("max_length"))
+
+
 def vertex_colours(edges: DataFrame, rounds: int = 3) -> DataFrame:
     """(graph_id, v, colour) after Weisfeiler-Lehman refinement from the degrees; colours compare across graphs."""
     colours = degrees(edges).select("graph_id", "v", F.md5(F.col("deg").cast("string")).alias("colour"))
@@ -245,3 +269,18 @@ def spectral_descriptors(edges: DataFrame, times: tuple[float, ...] = (0.1, 1.0,
         F.max(F.when((F.col("kind") == "laplacian") & (F.col("k") == 1), F.greatest(x, F.lit(0.0)))).alias("connectivity"),
         (of("laplacian", F.lit(1)) * of("laplacian", F.when(x > 1e-9, 1 / x))).alias("kirchhoff"), *(of("laplacian", F.exp(-t * x)).alias(f"heat_{t}".replace(".", "_")) for t in times),
     )
+
+
+def laplacian_prefix(edges: DataFrame, first: int = 6) -> DataFrame:
+    """The `first` smallest Laplacian eigenvalues as columns lap_0, lap_1, ..; null where a graph has fewer vertices."""
+    rows = spectrum(edges).where("kind = 'laplacian'")
+    return rows.groupBy("graph_id").agg(*(F.max(F.when(F.col("k") == i, F.greatest("value", F.lit(0.0)))).alias(f"lap_{i}") for i in range(first)))
+
+
+def heat_signature(edges: DataFrame, points: int = 32, low: float = 0.01, high: float = 100.0) -> DataFrame:
+    """Heat traces of the normalised Laplacian at `points` times on a log grid from `low` to `high`: the vector, its mean, deviation and 10th and 90th percentile."""
+    times = np.geomspace(low, high, points).tolist()
+    rows = spectrum(edges).where("kind = 'normalised'")
+    trace = rows.groupBy("graph_id").agg(F.array(*(F.sum(F.exp(-t * F.col("value"))) for t in times)).alias("trace"))
+    each = trace.select("graph_id", F.explode("trace").alias("h")).groupBy("graph_id").agg(F.avg("h").alias("heat_mean"), F.stddev_pop("h").alias("heat_std"), F.percentile("h", 0.1).alias("heat_q10"), F.percentile("h", 0.9).alias("heat_q90"))
+    return each.join(trace, "graph_id")

@@ -10,6 +10,7 @@ import graphloom.plans.analysis_queries  # noqa: F401
 import graphloom.plans.file_queries  # noqa: F401
 import graphloom.plans.model_queries  # noqa: F401
 import graphloom.plans.score_queries  # noqa: F401
+import graphloom.plans.selection_queries  # noqa: F401
 import graphloom.plans.structure_queries  # noqa: F401
 import graphloom.plans.table_queries  # noqa: F401
 import graphloom.plans.topology_queries  # noqa: F401

@@ -33,5 +33,16 @@ def test_scores_and_cuts(spark):
 
 def test_no_rows(spark):
     none = graphs(spark).where("graph_id < 0")
-    for f in (st.vertex_scores, st.spectral_descriptors, st.cut_counts, st.induced_four, st.simple_cycles, st.colour_summary, st.distance_profile, st.euler_summary):
+    for f in (st.vertex_scores, st.spectral_descriptors, st.cut_counts, st.induced_four, st.simple_cycles, st.colour_summary, st.distance_profile, st.euler_summary, st.vertex_orbits, st.cycle_membership, st.laplacian_prefix, st.heat_signature):
         assert f(none).count() == 0
+
+
+def test_orbits_cycles_and_prefixes(spark):
+    orbits = {(r["v"], r["degrees"], r["own"]): r["sets"] for r in st.vertex_orbits(graphs(spark)).where("graph_id = 2").collect()}
+    assert orbits == {(0, "1122", 1): 1, (1, "1122", 2): 1, (2, "1122", 2): 2, (3, "1122", 1): 1, (3, "1122", 2): 1, (1, "1122", 1): 1, (4, "1122", 1): 1}
+    on = {(r["graph_id"], r["v"]): (r["cycles"], r["mean_length"], r["max_length"]) for r in st.cycle_membership(graphs(spark)).collect()}
+    assert on == {(1, v): (6, 3.5, 4) for v in range(4)}
+    low = {r["graph_id"]: [r[f"lap_{k}"] for k in range(6)] for r in st.laplacian_prefix(graphs(spark)).collect()}
+    assert [round(x, 9) for x in low[1][:4]] == [0, 4, 4, 4] and low[1][4:] == [None, None]
+    heat = {r["graph_id"]: r for r in st.heat_signature(graphs(spark), 2, 0.5, 1.0).collect()}
+    assert all(math.isclose(heat[1]["trace"][k], 1 + 3 * math.exp(-4 / 3 * t)) for k, t in enumerate((0.5, 1.0)))
