@@ -278,9 +278,9 @@ def laplacian_prefix(edges: DataFrame, first: int = 6) -> DataFrame:
 
 
 def heat_signature(edges: DataFrame, points: int = 32, low: float = 0.01, high: float = 100.0) -> DataFrame:
-    """Heat traces of the normalised Laplacian at `points` times on a log grid from `low` to `high`: the vector, its mean, deviation and 10th and 90th percentile."""
+    """Heat traces of the Laplacian at `points` times on a log grid from `low` to `high`: the vector, its mean, deviation and 10th and 90th percentile."""
     times = np.geomspace(low, high, points).tolist()
-    rows = spectrum(edges).where("kind = 'normalised'")
+    rows = spectrum(edges).where("kind = 'laplacian'")
     trace = rows.groupBy("graph_id").agg(F.array(*(F.sum(F.exp(-t * F.col("value"))) for t in times)).alias("trace"))
     each = trace.select("graph_id", F.explode("trace").alias("h")).groupBy("graph_id").agg(F.avg("h").alias("heat_mean"), F.stddev_pop("h").alias("heat_std"), F.percentile("h", 0.1).alias("heat_q10"), F.percentile("h", 0.9).alias("heat_q90"))
     return each.join(trace, "graph_id")

@@ -45,4 +45,4 @@ def test_orbits_cycles_and_prefixes(spark):
     low = {r["graph_id"]: [r[f"lap_{k}"] for k in range(6)] for r in st.laplacian_prefix(graphs(spark)).collect()}
     assert [round(x, 9) for x in low[1][:4]] == [0, 4, 4, 4] and low[1][4:] == [None, None]
     heat = {r["graph_id"]: r for r in st.heat_signature(graphs(spark), 2, 0.5, 1.0).collect()}
-    assert all(math.isclose(heat[1]["trace"][k], 1 + 3 * math.exp(-4 / 3 * t)) for k, t in enumerate((0.5, 1.0)))
+    assert all(math.isclose(heat[1]["trace"][k], 1 + 3 * math.exp(-4 * t)) for k, t in enumerate((0.5, 1.0)))
