@@ -198,8 +198,8 @@ def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     return out
 
 
-def cycle_membership(edges: DataFrame, longest: int = 5) -> DataFrame:
-    """(graph_id, v, cycles, mean_length, max_length): simple cycles of 3 to `longest` vertices through each vertex that is on one."""
+def cycle_membership(edges: DataFrame, longest: int = 6) -> DataFrame:
+    """(graph_id, v, cycles, mean_length, max_length, length_var): simple cycles of 3 to `longest` vertices through each vertex that is on one."""
     d = darts(edges).toDF("graph_id", "last", "next")
     paths = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"), F.array("u", "v").alias("seen"))
     closing = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"))
@@ -208,7 +208,8 @@ def cycle_membership(edges: DataFrame, longest: int = 5) -> DataFrame:
         paths = paths.join(d, ["graph_id", "last"]).where("next > a and not array_contains(seen, next)").select("graph_id", "a", F.col("next").alias("last"), F.expr("concat(seen, array(next))").alias("seen"))
         met = paths.join(closing, ["graph_id", "a", "last"], "left_semi").select("graph_id", F.explode("seen").alias("v")).groupBy("graph_id", "v").agg(F.expr("count(1) div 2").alias("k")).withColumn("length", F.lit(length))
         out = met if out is None else out.union(met)
-    return out.groupBy("graph_id", "v").agg(F.sum("k").alias("cycles"), (F.sum(F.col("k") * F.col("length")) / F.sum("k")).alias("mean_length"), F.max("length").alias("max_length"))
+    n, total, squares = F.sum("k"), F.sum(F.col("k") * F.col("length")), F.sum(F.col("k") * F.col("length") * F.col("length"))
+    return out.groupBy("graph_id", "v").agg(n.alias("cycles"), (total / n).alias("mean_length"), F.max("length").alias("max_length"), ((n * squares - total * total) / (n * n)).alias("length_var"))
 
 
 def vertex_colours(edges: DataFrame, rounds: int = 3) -> DataFrame:

@@ -77,8 +77,8 @@ def vertex_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.vertex_orbits(den_edges(spark, sf_dir))
 
 
-@query(f"WITH RECURSIVE {DARTS}, path AS (SELECT graph_id, u AS a, v AS z, [u, v] AS seen FROM den UNION ALL SELECT p.graph_id, p.a, d.dst, list_append(p.seen, d.dst) FROM path p JOIN darts d ON d.graph_id = p.graph_id AND d.src = p.z WHERE d.dst > p.a AND NOT list_contains(p.seen, d.dst) AND len(p.seen) < 5), "
-       "c AS (SELECT p.graph_id, unnest(p.seen) AS v, len(p.seen) AS length FROM path p JOIN den e ON e.graph_id = p.graph_id AND e.u = p.a AND e.v = p.z WHERE len(p.seen) > 2) SELECT graph_id, v, count(*) // 2 AS cycles, round(avg(length), 6) AS mean_length, CAST(max(length) AS INT) AS max_length FROM c GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {DARTS}, path AS (SELECT graph_id, u AS a, v AS z, [u, v] AS seen FROM den UNION ALL SELECT p.graph_id, p.a, d.dst, list_append(p.seen, d.dst) FROM path p JOIN darts d ON d.graph_id = p.graph_id AND d.src = p.z WHERE d.dst > p.a AND NOT list_contains(p.seen, d.dst) AND len(p.seen) < 6), "
+       "c AS (SELECT p.graph_id, unnest(p.seen) AS v, len(p.seen) AS length FROM path p JOIN den e ON e.graph_id = p.graph_id AND e.u = p.a AND e.v = p.z WHERE len(p.seen) > 2) SELECT graph_id, v, count(*) // 2 AS cycles, round(avg(length), 6) AS mean_length, CAST(max(length) AS INT) AS max_length, round(CAST(count(*) * sum(length * length) - sum(length) * sum(length) AS DOUBLE) / CAST(count(*) * count(*) AS DOUBLE), 6) AS length_var FROM c GROUP BY 1, 2")
 def cycle_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.cycle_membership(den_edges(spark, sf_dir))
 
