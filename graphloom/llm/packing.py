@@ -34,6 +34,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that the file writes as the characters of the same number
         others = [b for b in range(256) if b not in shown]
@@ -48,7 +49,8 @@ class Encoder:
 
 
 @lru_cache(1)
-def _encoder(path: str) -> Encoder:
+def token_encoder(path: str) -> Encoder:
+    """The encoder of a file, made once in a worker."""
     return Encoder(path)
 
 
@@ -56,7 +58,7 @@ def _pieces(path: str, end: int, capacity: int):
     last = np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = token_encoder(path)
         for part in slices(batches, "text"):
             out = []
             for i, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
