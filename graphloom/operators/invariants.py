@@ -18,6 +18,12 @@ def darts(edges: DataFrame) -> DataFrame:
     return edges.select("graph_id", both.alias("d")).select("graph_id", "d.src", "d.dst")
 
 
+def vertex_bit(name: str) -> Column:
+    """A vertex id as a bit of a long; ids beyond 62 have none and raise."""
+    v = F.col(name)
+    return F.when(v.between(0, 62), F.expr(f"shiftleft(1L, cast({name} as int))")).otherwise(F.raise_error(F.lit("vertex ids of 0 to 62 are needed; `relabelled` gives such")).cast("long"))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(graph_id, v, deg)."""
     return darts(edges).groupBy("graph_id", F.col("src").alias("v")).agg(F.count(F.lit(1)).alias("deg"))
@@ -127,17 +133,17 @@ def closed_walks(edges: DataFrame, longest: int = 5) -> DataFrame:
     return out
 
 
-def distance_summary(edges: DataFrame, most: int = 31) -> DataFrame:
-    """Components, connected or not, diameter and Wiener index (of reachable pairs), for vertex ids 0..`most` - 1.
+def distance_summary(edges: DataFrame) -> DataFrame:
+    """Components, connected or not, diameter and Wiener index (of reachable pairs), for vertex ids 0..62; larger ones raise.
 
     Each graph is one row of neighbour masks; balls grow row-locally, with no join a round.
     """
-    rows = darts(edges).groupBy("graph_id", "src").agg(F.expr("bit_or(shiftleft(1, dst))").alias("mask")).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "mask"))).alias("nbr"))
-    rows = rows.withColumn("nbr", F.expr("transform(sequence(0, array_max(map_keys(nbr))), i -> coalesce(nbr[i], 0))"))
+    rows = darts(edges).groupBy("graph_id", "src").agg(F.bit_or(vertex_bit("dst")).alias("mask")).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "mask"))).alias("nbr"))
+    rows = rows.withColumn("nbr", F.expr("transform(sequence(0, array_max(map_keys(nbr))), i -> coalesce(nbr[i], 0L))"))
     grow = "transform(s.balls, b -> aggregate(sequence(0, size(nbr) - 1), b, (x, j) -> if(getbit(b, j) = 1, x | nbr[j], x)))"
     reach = "aggregate({}, 0, (x, b) -> x + bit_count(b))"
     step = f"transform(array({grow}), g -> named_struct('balls', g, 'reach', {reach.format('g')}, 'wiener', s.wiener + r * ({reach.format('g')} - s.reach), 'diameter', if({reach.format('g')} > s.reach, r, s.diameter)))[0]"
-    start = "transform(nbr, (m, i) -> if(m = 0, 0, shiftleft(1, i)))"
+    start = "transform(nbr, (m, i) -> if(m = 0, 0L, shiftleft(1L, i)))"
     walked = f"aggregate(sequence(1, size(nbr)), named_struct('balls', {start}, 'reach', {reach.format(start)}, 'wiener', 0, 'diameter', 0), (s, r) -> if(r > 1 and s.diameter < r - 1, s, {step}))"
     out = rows.withColumn("w", F.expr(walked))
     components = F.expr("size(array_distinct(filter(w.balls, b -> b <> 0)))")

@@ -13,15 +13,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.operators.invariants import clique_counts, darts, degree_summary, degrees, distance_summary
+from graphloom.operators.invariants import clique_counts, darts, degree_summary, degrees, distance_summary, vertex_bit
 
 #: Matrix cells that a Python worker stacks at once.
 CELLS = 1 << 21
+#: Vertex ids are below this where graphs become matrices.
+MOST_IDS = 1 << 10
 
 
 def neighbour_masks(edges: DataFrame) -> DataFrame:
     """(graph_id, nbr): by vertex id, the bits of its neighbours; 0 for ids that no edge names."""
-    rows = darts(edges).groupBy("graph_id", "src").agg(F.expr("bit_or(shiftleft(1L, dst))").alias("mask")).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "mask"))).alias("nbr"))
+    rows = darts(edges).groupBy("graph_id", "src").agg(F.bit_or(vertex_bit("dst")).alias("mask")).groupBy("graph_id").agg(F.map_from_entries(F.collect_list(F.struct("src", "mask"))).alias("nbr"))
     return rows.select("graph_id", F.expr("transform(sequence(0, array_max(map_keys(nbr))), i -> coalesce(nbr[i], 0L))").alias("nbr"))
 
 
@@ -35,6 +37,8 @@ def stacks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.nda
         if batch.empty:
             continue
         n = 1 + int(batch["vs"].map(max).max())
+        if n > MOST_IDS:
+            raise ValueError(f"a vertex id of {n - 1}; matrices need ids below {MOST_IDS}, as `relabelled` gives them")
         step = max(1, CELLS // (n * n))
         for i in range(0, len(batch), step):
             part = batch.iloc[i : i + step]
@@ -188,11 +192,11 @@ def induced_four(edges: DataFrame) -> DataFrame:
 def simple_cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
     """(graph_id, length, cycles): paths grow from their least vertex by joins on (graph_id, end) and close over an edge; each cycle is met twice."""
     d = darts(edges)
-    paths = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"), F.expr("shiftleft(1L, v)").alias("seen"))
+    paths = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"), vertex_bit("v").alias("seen"))
     closing = edges.select("graph_id", F.col("u").alias("a"), F.col("v").alias("last"))
     out = None
     for length in range(3, longest + 1):
-        paths = paths.join(d.toDF("graph_id", "last", "next"), ["graph_id", "last"]).where("next > a and getbit(seen, next) = 0").select("graph_id", "a", F.col("next").alias("last"), F.expr("seen | shiftleft(1L, next)").alias("seen"))
+        paths = paths.join(d.toDF("graph_id", "last", "next"), ["graph_id", "last"]).where("next > a and getbit(seen, next) = 0").select("graph_id", "a", F.col("next").alias("last"), F.col("seen").bitwiseOR(vertex_bit("next")).alias("seen"))
         found = paths.join(closing, ["graph_id", "a", "last"], "left_semi").groupBy("graph_id").agg(F.expr("count(1) div 2").alias("cycles")).select("graph_id", F.lit(length).alias("length"), "cycles")
         out = found if out is None else out.union(found)
     return out

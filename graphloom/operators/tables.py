@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import ratio, rational
 from graphloom.operators import invariants as inv
-from graphloom.operators.structure import edge_lists, stacks
+from graphloom.operators.structure import edge_lists, neighbour_masks, stacks
+from graphloom.sources.files import materialized
 
 
 def relabelled(edges: DataFrame) -> DataFrame:
@@ -112,22 +113,37 @@ def path_counts(edges: DataFrame, lengths: tuple[int, ...] = (3, 4, 5)) -> DataF
     return out
 
 
-def largest_clique(edges: DataFrame, most: int = 8) -> DataFrame:
-    """(graph_id, largest): vertices of the largest clique, up to `most`; sizes are tried until none is left."""
-    sizes = edges.select("graph_id").distinct().withColumn("k", F.lit(2))
-    for k in range(3, most + 1):
-        found = inv.cliques(edges, k).select("graph_id").distinct()
-        if found.isEmpty():
-            break
-        sizes = sizes.union(found.withColumn("k", F.lit(k)))
-    return sizes.groupBy("graph_id").agg(F.max("k").alias("largest"))
+def largest_clique(edges: DataFrame) -> DataFrame:
+    """(graph_id, largest): vertices of the largest clique. Ids to 62.
+
+    A row is a clique with the mask of what is joined to all of it and comes after it. Rows grow by a vertex a round, row-locally, and each round is written
+    before the next, until no row is left: as many rounds as the largest clique of all graphs has vertices.
+    """
+    masks = neighbour_masks(edges)
+    rows = masks.select("graph_id", "nbr", F.posexplode("nbr").alias("v", "near")).where("near <> 0")
+    rows = rows.select("graph_id", "nbr", F.lit(1).alias("k"), F.expr("near & ~(shiftleft(1L, v + 1) - 1)").alias("after"))
+    sizes, k = None, 1
+    while True:
+        rows = materialized(rows, f"cliques-{k}")
+        found = rows.groupBy("graph_id").agg(F.max("k").alias("k"))
+        sizes = found if sizes is None else sizes.union(found)
+        if rows.where("after <> 0").isEmpty():
+            return sizes.groupBy("graph_id").agg(F.max("k").alias("largest"))
+        grown = rows.where("after <> 0").select("graph_id", "nbr", "k", "after", F.explode(F.expr("filter(sequence(0, size(nbr) - 1), j -> getbit(after, j) = 1)")).alias("v"))
+        rows = grown.select("graph_id", "nbr", (F.col("k") + 1).alias("k"), F.expr("after & nbr[v] & ~(shiftleft(1L, v + 1) - 1)").alias("after"))
+        k += 1
 
 
 def walk_traces(edges: DataFrame, most: int = 11) -> DataFrame:
-    """(graph_id, walks): closed walks of 2, 3, .. `most` steps, exact while below 2 ** 53; a graph's matrix stays in one row's task, some 2 ** 21 cells at once."""
+    """(graph_id, walks): closed walks of 2, 3, .. `most` steps. A graph's matrix stays in one row's task, some 2 ** 21 cells at once; where vertices * largest degree ** `most` is 2 ** 63 or more, counts could leave 64 bits, and it raises."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids, a in stacks(batches):
+            bound = a.shape[1] * int(a.sum(2).max()) ** most
+            if bound >= 1 << 63:
+                raise OverflowError(f"walks of {most} steps may be 2 ** 63 or more")
+            if bound >= 1 << 53:  # beyond what doubles hold exactly
+                a = a.astype(np.int64)
             power, out = a, []
             for _ in range(2, most + 1):
                 power = power @ a
@@ -150,6 +166,13 @@ def unique_graphs(edges: DataFrame, graphs: DataFrame) -> DataFrame:
     return held.groupBy("edges").agg(F.count(F.lit(1)).alias("graphs"), F.min("graph_id").alias("first")).select("first", "graphs")
 
 
+def blocks(edges: DataFrame, size: int, parts: int) -> DataFrame:
+    """The parts of each graph on vertices 0 .. `size` - 1, `size` .. 2 * `size` - 1, and so on, as graphs graph_id * `parts` + part on vertices 0 .. `size` - 1."""
+    part = F.expr(f"u div {size}")
+    same = edges.where(part == F.expr(f"v div {size}"))
+    return same.select((F.col("graph_id") * parts + part).alias("graph_id"), (F.col("u") % size).alias("u"), (F.col("v") % size).alias("v"))
+
+
 def running_totals(frame: DataFrame, by: str, value: str, width: int = 1 << 12) -> DataFrame:
     """Adds before: the sum of `value` over rows with a smaller `by` (a long). Ranges of `width` are summed alone and then moved, so no window holds all rows."""
     cut = frame.withColumn("_cut", F.expr(f"{by} div {width}")).repartition("_cut")
@@ -172,7 +195,7 @@ def _degree(edges: DataFrame) -> DataFrame:
 
 def _cycles(edges: DataFrame) -> DataFrame:
     n = inv.degrees(edges).groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return inv.four_cycles(edges).join(n, "graph_id").select("graph_id", "four_cycles", ratio(F.col("four_cycles") * 8, F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) * (F.col("n") - 3)).alias("four_cycle_share"))
+    return inv.four_cycles(edges).join(n, "graph_id").select("graph_id", "four_cycles", ratio(F.col("four_cycles") * 24, F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) * (F.col("n") - 3)).alias("four_cycle_share"))
 
 
 #: Groups of features that a user picks by name; each gives one row a graph.
@@ -181,7 +204,7 @@ GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 #: Presets of groups: those of one or two joins, and all.
 PRESETS = {"fast": ["degree", "entropy", "gini"], "full": list(GROUPS)}
-MOST_VERTICES = 32
+MOST_VERTICES = 62
 
 
 def graph_features(graphs: DataFrame, layers: dict[str, DataFrame], groups: str | list[str] = "full") -> DataFrame:

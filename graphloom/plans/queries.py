@@ -33,6 +33,8 @@ def query(oracle: str | None = None):
     """Registers a query, its doubles rounded to 6 digits, under its function's name."""
 
     def register(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"there is a query {f.__name__} already")
         QUERIES[f.__name__] = lambda spark, sf_dir: inv.rounded(f(spark, sf_dir))
         if oracle:
             ORACLE_SQL[f.__name__] = oracle

@@ -43,7 +43,7 @@ _GROUPS = {
 }
 _CLUSTER = ORACLE_SQL["vertex_clustering"].split("SELECT graph_id, v, deg, round")[0] + f"SELECT graph_id, round(avg({_C}), 6) AS clustering_mean, round(quantile_cont({_C}, 0.5), 6) AS clustering_q50, round(quantile_cont({_C}, 0.9), 6) AS clustering_q90, round(avg(CAST(c = 0 AS DOUBLE)), 6) AS clustering_zero FROM lc GROUP BY 1"
 _SCALED = f"WITH {DEG}, n AS (SELECT graph_id, count(*) AS n, min(deg) AS lo, max(deg) AS hi, avg(deg) AS mean, stddev_pop(deg) AS sd FROM deg GROUP BY 1) SELECT graph_id, round(lo / (n - 1), 6) AS deg_min_norm, round(hi / (n - 1), 6) AS deg_max_norm, round(mean / (n - 1), 6) AS deg_avg_norm, round(sd / (n - 1), 6) AS deg_std_norm FROM n"
-_SHARE = "WITH q AS (" + ORACLE_SQL["four_cycles"] + f"), k AS (WITH {DEG} SELECT graph_id, CAST(count(*) AS DOUBLE) AS n FROM deg GROUP BY 1) SELECT graph_id, CASE WHEN n > 3 THEN round(four_cycles * 8 / (n * (n - 1) * (n - 2) * (n - 3)), 6) END AS four_cycle_share FROM q JOIN k USING (graph_id)"
+_SHARE = "WITH q AS (" + ORACLE_SQL["four_cycles"] + f"), k AS (WITH {DEG} SELECT graph_id, CAST(count(*) AS DOUBLE) AS n FROM deg GROUP BY 1) SELECT graph_id, CASE WHEN n > 3 THEN round(four_cycles / list_product([(n - i) / (i + 1) for i in range(4)]), 6) END AS four_cycle_share FROM q JOIN k USING (graph_id)"
 
 
 def _wide_sql() -> str:
@@ -203,19 +203,24 @@ def long_closed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-FIRST = DEN.replace("AS (SELECT DISTINCT", "AS (SELECT * FROM (SELECT DISTINCT", 1).rstrip().removesuffix(")") + ") WHERE v < 5)"
+#: The parts of each graph on vertices 0 to 3, 4 to 7 and 8 to 11 as graphs of their own.
+BLOCKS = DEN.replace("den AS", "whole AS", 1) + ", den AS (SELECT graph_id * 3 + u // 4 AS graph_id, u % 4 AS u, v % 4 AS v FROM whole WHERE u // 4 = v // 4)"
 
 
-@query(f"WITH {FIRST}, {LABELS}, s AS (SELECT graph_id, string_agg(u || '-' || v, ' ' ORDER BY u, v) AS e FROM den GROUP BY 1), g AS (SELECT graph_id, coalesce(e, '') AS e FROM lab LEFT JOIN s USING (graph_id)) SELECT min(graph_id) AS first, count(*) AS graphs FROM g GROUP BY e")
+def block_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_labels(spark, sf_dir).select(F.explode(F.sequence(F.col("graph_id") * 3, F.col("graph_id") * 3 + 2)).alias("graph_id"), "y")
+
+
+@query(f"WITH {BLOCKS}, {LABELS}, s AS (SELECT graph_id, string_agg(u || '-' || v, ' ' ORDER BY u, v) AS e FROM den GROUP BY 1), g AS (SELECT b.graph_id, coalesce(e, '') AS e FROM (SELECT graph_id * 3 + k AS graph_id FROM lab, range(3) r(k)) b LEFT JOIN s USING (graph_id)) SELECT min(graph_id) AS first, count(*) AS graphs FROM g GROUP BY e")
 def unique_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct edge sets among the parts of the graphs on vertices 0 to 4."""
-    return tb.unique_graphs(den_edges(spark, sf_dir).where("v < 5"), graphs(spark, sf_dir))
+    """Distinct edge sets among the parts of the graphs on four vertices each, that together hold all vertices."""
+    return tb.unique_graphs(tb.blocks(den_edges(spark, sf_dir), 4, 3), block_graphs(spark, sf_dir).select("graph_id"))
 
 
-@query(f"WITH w AS ({_walks_sql(FIRST, 'den', 5)}), s AS (SELECT graph_id, string_agg(k || ':' || walks, ' ' ORDER BY k) AS walks FROM w GROUP BY 1), {LABELS} SELECT min(graph_id) AS first, count(*) AS graphs, count(DISTINCT y) AS labels FROM s JOIN lab USING (graph_id) GROUP BY walks HAVING count(*) > 1")
+@query(f"WITH w AS ({_walks_sql(BLOCKS, 'den', 4)}), s AS (SELECT graph_id, string_agg(k || ':' || walks, ' ' ORDER BY k) AS walks FROM w GROUP BY 1), {LABELS} SELECT min(s.graph_id) AS first, count(*) AS graphs, count(DISTINCT y) AS labels FROM s JOIN lab ON lab.graph_id = s.graph_id // 3 GROUP BY walks HAVING count(*) > 1")
 def cospectral_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the parts of the graphs on vertices 0 to 4."""
-    return tb.cospectral_groups(den_edges(spark, sf_dir).where("v < 5"), graph_labels(spark, sf_dir), 5)
+    """Of the parts of the graphs on four vertices each."""
+    return tb.cospectral_groups(tb.blocks(den_edges(spark, sf_dir), 4, 3), block_graphs(spark, sf_dir), 4)
 
 
 @query(f"WITH {DEN}, n AS (SELECT graph_id, count(*) AS n FROM den GROUP BY 1) SELECT graph_id, n, CAST(coalesce(sum(n) OVER (ORDER BY graph_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM n")
@@ -285,7 +290,7 @@ def described_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {_LONG}, c AS (SELECT feature, corr(x, y) AS corr FROM l GROUP BY 1) SELECT feature, round(corr, 6) AS corr, CAST(rank() OVER (ORDER BY round(abs(corr), 9) DESC, feature) AS INT) AS place FROM c WHERE abs(corr) >= 0.02")
-def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ranked_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features whose correlation with the label is 0.02 or more either way, the strongest first; a row a feature, so one window holds them."""
     long = table(spark, sf_dir, "embeddings").select((F.col("label") % 2).alias("y"), F.posexplode("embedding").alias("k", "x"))
     found = long.groupBy(F.concat(F.lit("f"), F.col("k").cast("string")).alias("feature")).agg(F.corr(F.col("x").cast("double"), "y").alias("corr")).where(F.abs("corr") >= 0.02)

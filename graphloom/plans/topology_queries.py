@@ -32,7 +32,7 @@ def vertex_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
        "g AS (SELECT graph_id, bit_or(CAST(1 AS BIGINT) << v) AS p, count(*) AS n FROM mask GROUP BY 1), s AS (SELECT CAST(range AS BIGINT) AS s FROM range(1, 4096)), "
        "side AS (SELECT graph_id, s, bit_or(m) AS near, sum(bit_count(m & ~s)) AS cut FROM mask, s WHERE (s >> v) & 1 = 1 GROUP BY 1, 2), "
        "x AS (SELECT graph_id, n, min(cut) FILTER (s & p = s AND p & ~s <> 0) AS e, min(bit_count(near & ~s)) FILTER (s & p = s AND p & ~s & ~near <> 0) AS k FROM side JOIN g USING (graph_id) GROUP BY 1, 2) "
-       "SELECT graph_id, CAST(least(coalesce(k, n - 1), 4) AS BIGINT) AS vertex_connectivity, CAST(e AS BIGINT) AS edge_connectivity FROM x")
+       "SELECT graph_id, CAST(coalesce(k, n - 1) AS BIGINT) AS vertex_connectivity, CAST(e AS BIGINT) AS edge_connectivity FROM x")
 def connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.connectivity(den_edges(spark, sf_dir))
 
@@ -72,7 +72,7 @@ def neighbourhood_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tp.pooled(tp.neighbourhood_sums(edges, degrees(edges).withColumnRenamed("deg", "h")))
 
 
-TWINS = f"{DARTS}, third AS MATERIALIZED (SELECT e.graph_id, e.u AS p, e.v AS q, a.dst AS x FROM den e JOIN darts a ON a.graph_id = e.graph_id AND a.src = e.u JOIN darts b ON b.graph_id = e.graph_id AND b.src = e.v AND b.dst = a.dst), twin AS (SELECT s.graph_id, s.p, s.q, s.x, t.x AS y FROM third s JOIN third t ON t.graph_id = s.graph_id AND t.p = s.p AND t.q = s.q AND s.x < t.x)"
+TWINS = f"{DARTS}, third AS MATERIALIZED (SELECT w.graph_id, w.p, w.q, w.x FROM (SELECT a.graph_id, a.dst AS p, b.dst AS q, a.src AS x FROM darts a JOIN darts b ON a.graph_id = b.graph_id AND a.src = b.src AND a.dst < b.dst) w JOIN den e ON e.graph_id = w.graph_id AND e.u = w.p AND e.v = w.q), twin AS (SELECT s.graph_id, s.p, s.q, s.x, t.x AS y FROM third s JOIN third t ON t.graph_id = s.graph_id AND t.p = s.p AND t.q = s.q AND s.x < t.x)"
 
 
 @query(f"WITH {TWINS} SELECT graph_id, p, q, x, y FROM twin")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,9 +13,22 @@ from graphloom.sources.collections import parse_edge_list
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that all executors share; a local one only where the session names none (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    return f"{(conf or 'file:/tmp/graphloom-checkpoints').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share. Where the session names none, a session on one machine takes a temporary folder, and one on a cluster raises."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        context.setCheckpointDir(named)
+    return f"{named.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def materialized(frame: DataFrame, label: str) -> DataFrame:
+    """`frame` written to the shared folder and read back: its lineage ends there, and a lost executor loses nothing."""
+    path = shared_path(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def file_tag() -> Column:
