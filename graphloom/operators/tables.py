@@ -147,7 +147,7 @@ def walk_traces(edges: DataFrame, most: int = 11) -> DataFrame:
             power, out = a, []
             for _ in range(2, most + 1):
                 power = power @ a
-                out.append(np.rint(np.trace(power, axis1=1, axis2=2)).astype(np.int64))
+                out.append(np.trace(power, axis1=1, axis2=2).astype(np.int64))
             yield pd.DataFrame({"graph_id": ids, "walks": list(np.stack(out, 1))})
 
     return edge_lists(edges).mapInPandas(run, "graph_id long, walks array<long>")
