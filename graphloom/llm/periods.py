@@ -19,6 +19,8 @@ from graphloom.llm.common import aside, slices, with_fields
 LEAST, TIMES = 24, 3
 #: Words of the shortest window that a run repeats at the distance of its period.
 GRAM = 8
+#: Texts of up to so many words keep the hashes of all their windows; up to so many candidates at a boundary are compared word by word.
+KEPT_WORDS, FEW = 1 << 17, 16
 #: Odd 64-bit numbers of the window hashes; what they tell is checked on the words.
 BASE, SPREAD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -154,9 +156,41 @@ class Windows:
             # sums of mixed[i] * BASE ** (n - 1 - i): a window's difference times BASE ** its start is its hash
             self.sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed * self.powers[:n][::-1])])
 
+        self.kept: dict[int, np.ndarray] = {}
+
     def hashes(self, starts: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sums[starts + size] - self.sums[starts]) * self.powers[starts]
 
+    def between(self, low: int, high: int, size: int) -> np.ndarray:
+        """Hashes of the windows of `size` words that start at low .. high - 1; those of shorter texts are worked out once."""
+        if len(self.ids) > KEPT_WORDS:
+            return (self.sums[low + size : high + size] - self.sums[low:high]) * self.powers[low:high]
+        if size not in self.kept:
+            self.kept[size] = (self.sums[size:] - self.sums[: len(self.ids) - size + 1]) * self.powers[: len(self.ids) - size + 1]
+        return self.kept[size][low:high]
+
+    def ahead(self, a: int, b: int, most: int) -> int:
+        """How many words agree from places a and b on, of `most`."""
+        done, step = 0, 64
+        while done < most:
+            n = min(step, most - done)
+            apart = self.ids[a + done : a + done + n] != self.ids[b + done : b + done + n]
+            if (k := int(apart.argmax())) or apart[0]:
+                return done + k
+            done, step = done + n, 4 * step
+        return most
+
+    def behind(self, a: int, b: int, most: int) -> int:
+        """How many words agree before places a and b, of `most`."""
+        done, step = 0, 64
+        while done < most:
+            n = min(step, most - done)
+            apart = (self.ids[a - done - n : a - done] != self.ids[b - done - n : b - done])[::-1]
+            if (k := int(apart.argmax())) or apart[0]:
+                return done + k
+            done, step = done + n, 4 * step
+        return most
+
     def agree(self, a: np.ndarray, b: np.ndarray, most: np.ndarray, back: bool) -> np.ndarray:
         """How many words, at most `most`, agree from places a and b on (or, `back`, before them)."""
         low, high = np.zeros(len(a), np.int64), most.copy()
@@ -174,27 +208,33 @@ def boundary_runs(text: Windows, lo: int, middle: int, hi: int) -> list[tuple[in
     at least 2 * q words together, so one of both is a window of q words, at least GRAM: equal windows give the candidates.
     """
     found: list[tuple[int, int, int]] = []
-    g = GRAM
-    while (low := 1 if g == GRAM else g) * TIMES <= hi - lo:
-        q = np.arange(low, min(2 * g, (hi - lo) // TIMES + 1))
-        for sign in (1, -1):
-            candidates = []
-            for start in (middle, middle - g):
-                fits = q[(start + sign * q >= lo) & (start + sign * q + g <= hi)] if lo <= start and start + g <= hi else q[:0]
-                if len(fits):
-                    own = text.hashes(np.array([start]), g)
-                    candidates.append(fits[text.hashes(start + sign * fits, g) == own])
-            if not candidates or not (at := np.unique(np.concatenate(candidates))).size:
-                continue
+    most, candidates, g = (hi - lo) // TIMES, ([], []), GRAM
+    while (low := 1 if g == GRAM else g) <= most:
+        high = min(2 * g, most + 1)
+        for start in (middle, middle - g):
+            if lo <= start and start + g <= hi:
+                own = text.between(start, start + 1, g)[0]
+                if (last := min(high, hi - g - start + 1)) > low:
+                    candidates[0].append(low + np.flatnonzero(text.between(start + low, start + last, g) == own))
+                if (last := min(high, start - lo + 1)) > low:
+                    candidates[1].append(low + np.flatnonzero(text.between(start - last + 1, start - low + 1, g)[::-1] == own))
+        g *= 2
+    for sign, parts in zip((1, -1), candidates, strict=True):
+        at = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+        at = at[(middle + sign * at >= lo) & (middle + sign * at <= hi)]
+        if 0 < len(at) <= FEW:
+            for q in at.tolist():
+                a, b = min(middle, middle + sign * q), max(middle, middle + sign * q)
+                s, e = a - text.behind(a, b, a - lo), b + text.ahead(a, b, hi - b)
+                if s < middle < e and e - s >= max(LEAST, TIMES * q):
+                    found.append((s, e, q))
+        elif len(at):
             here, there = np.full(len(at), middle), middle + sign * at
-            ok = (there >= lo) & (there <= hi)
-            at, here, there = at[ok], here[ok], there[ok]
             after = text.agree(here, there, hi - np.maximum(here, there), False)
             before = text.agree(here, there, np.minimum(here, there) - lo, True)
             start, end = np.minimum(here, there) - before, np.maximum(here, there) + after
             long = (start < middle) & (end > middle) & (end - start >= np.maximum(LEAST, TIMES * at))
             found += zip(start[long].tolist(), end[long].tolist(), at[long].tolist(), strict=True)
-        g *= 2
     least: dict[tuple[int, int], int] = {}
     for s, e, q in found:
         least[s, e] = min(q, least.get((s, e), q))
