@@ -14,15 +14,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import aside, remainder, slices, with_fields
+from graphloom.llm.common import aside, remainder, slices, with_fields, written
 from graphloom.llm.quality import labelled_texts
 
 #: Labelled rows that lexicon and weights are learned from at most, the first by a hash of doc_id.
 TRAINING_ROWS = 16_000
-#: Terms of the lexicon at most, the strongest first.
-TERMS = 5_000
-#: A term is in at least so many distinct toxic texts, in such a share of them, and its log odds ratio is at least so high.
-LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 8, 0.01, 3.5
+#: A term's log odds ratio, less so many of its standard errors, is at least so high: what few texts show has to show the more clearly.
+ERRORS, LEAST_WEIGHT = 2.0, 1.0
+#: Training texts of one label with such a share of words in common, or more, count once.
+COPIES = 0.8
+#: Longer tokens are looked up each time they come.
+REMEMBERED_SIZE = 64
 #: Lengths of the word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6)
 REMEMBERED = 500_000
@@ -72,6 +74,7 @@ class Trie:
                     continue
                 for start in range(a - edits, a + edits + 1) if a else (0,):
                     self.parts.setdefault((start, b - a), set()).add(term[a:b])
+        self.longest = max((len(t) for t, _, _ in terms), default=0)
         self.sizes = sorted({len(x) for x in self.tails})
         self.lengths = sorted({len(x) for x in self.stems})
 
@@ -88,14 +91,17 @@ class Trie:
 
         A term is cut into one part more than it may take edits, so that one part is left whole, moved by as many places as
         there are edits at most: at the start for the first part, at the end of the word for the last (a stem's stands inside).
-        Words without any such part are passed over at once.
+        Words without any such part are passed over at once. A word longer than all terms by three is cut there: no whole term is within two edits
+        of it, and a stem is looked for at its beginning. A row of distances holds the five cells around the diagonal.
         """
         if len(word) < 4 or not (any(word[-n:] in self.tails for n in self.sizes) or any(word[a : a + n] in parts for (a, n), parts in self.parts.items())):
             return 0.0
+        word = word[: self.longest + 3]
         best, size = 0.0, len(word)
-        stack = [(self.root, list(range(size + 1)))]
+        far = [3] * (size + 2)
+        stack = [(self.root, 0, [*range(min(3, size + 1)), *far][: size + 1])]
         while stack:
-            node, row = stack.pop()
+            node, depth, row = stack.pop()
             for c, child in node.items():
                 if c == 0:
                     weight, length = child
@@ -103,14 +109,17 @@ class Trie:
                         best = max(best, weight * EDIT ** row[size])
                 elif c == 1:
                     weight, length = child
-                    if size > length and (d := min(row[length - 1 : length + 2])) == 1:
+                    if size > length and min(row[length - 1 : length + 2]) == 1:
                         best = max(best, weight * EDIT)
                 else:
-                    new = [row[0] + 1]
-                    for k in range(1, size + 1):
-                        new.append(min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c)))
+                    at = depth + 1
+                    new = far[: size + 1]
+                    if at <= 2:
+                        new[0] = at
+                    for k in range(max(1, at - 2), min(size, at + 2) + 1):
+                        new[k] = min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c), 3)
                     if min(new) <= 2:
-                        stack.append((child, new))
+                        stack.append((child, at, new))
         return best
 
 
@@ -131,7 +140,8 @@ class Scorer:
             out = (exact, True)
         elif near := max(self.trie.exactly(spelled) if spelled != word else 0.0, self.trie.nearly(spelled)):
             out = (near, False)
-        self.known[token] = out
+        if len(token) <= REMEMBERED_SIZE:
+            self.known[token] = out
         return out
 
     def of(self, text: str | None) -> tuple[float, float]:
@@ -150,11 +160,27 @@ class Scorer:
         return math.log1p(exact), math.log1p(near)
 
 
+#: Odd numbers that make four orders of word hashes.
+ORDERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
 def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds a min-hash of a text's longer words: near copies mostly share it, and then count once."""
+    """Adds the hashes of a text's words and a digest of four of their min-hashes, that near copies mostly share."""
     for part in slices(batches, "text"):
-        out = [min((xxhash.xxh3_64_intdigest(w) >> 1 for w in set(tokens_of(t)) if len(w) > 4), default=0) for t in part.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), part.column("text"), pa.array(out, pa.int64())], ["doc_id", "label", "text", "sig"])
+        words = [np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in set(tokens_of(t))], np.uint64)) for t in part.column("text").to_pylist()]
+        signs = [xxhash.xxh3_64_intdigest((w[:, None] * ORDERS).min(0).tobytes()) >> 1 if w.size else 0 for w in words]
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "text")), pa.array([w.astype(np.int64) for w in words], pa.list_(pa.int64())), pa.array(signs, pa.int64())], ["doc_id", "label", "text", "words", "sig"])
+
+
+def without_copies(labelled: DataFrame) -> DataFrame:
+    """label and text of the rows (doc_id, label, text) less near copies: of rows of one label and signature, those go whose words agree with the first one's in a share of COPIES of both together.
+
+    Unlike texts with one signature stay, so that only copies are lost.
+    """
+    rows = labelled.dropDuplicates(["doc_id", "label"]).mapInArrow(_signature, "doc_id long, label int, text string, words array<long>, sig long")
+    first = rows.groupBy("sig", "label").agg(F.min("doc_id").alias("_first"), F.min_by("words", "doc_id").alias("_words"))
+    common, both = F.size(F.array_intersect("words", "_words")), F.size(F.array_union("words", "_words"))
+    return rows.join(first, ["sig", "label"]).where((F.col("doc_id") == F.col("_first")) | (common < COPIES * both)).select("label", "text")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,18 +197,20 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train_toxicity(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list[tuple[str, bool, float]], list[float]]:
     """(term, is a stem, weight) of the lexicon, and bias and weights of the evidence, from doc_id, text and label.
 
-    At most `rows` rows are used, the first by a hash of doc_id, and one of each set of near copies. Without any
+    At most `rows` rows are used, the first by a hash of doc_id, less near copies. A term is a word or a beginning of words that toxic texts hold more often than
+    clean ones by what ERRORS and LEAST_WEIGHT ask for, whether there are few texts or many; there is no cap on terms but the words of the sampled toxic texts. Without any
     toxic row the lexicon is empty and all texts score the share of toxic rows, smoothed.
     """
     labelled = labelled.where(F.col("label").isin(0, 1))
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    single = chosen.mapInArrow(_signature, "doc_id long, label int, text string, sig long").groupBy("sig", "label").agg(F.min(F.struct("doc_id", "text")).alias("one")).select("label", "one.text")
+    single = written(without_copies(chosen), "toxicity-training")
     totals = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean_n, toxic_n = totals.get(0, 0), totals.get(1, 0)
     weight = F.log((F.col("toxic") + 0.5) / (toxic_n + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_n + 1.0))
     counted = single.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    best = counted.withColumn("weight", weight).where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * toxic_n)) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("weight"), "term").limit(TERMS)
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = counted.withColumn("weight", weight).where(F.col("weight") - ERRORS * error >= LEAST_WEIGHT).orderBy(F.desc("weight"), "term")
     terms = [(r["term"].lstrip("^"), r["term"].startswith("^"), float(r["weight"])) for r in best.collect()]
     evidence = np.array([(r["exact"], r["near"], r["label"]) for r in _evidence(single, terms).select("exact", "near", "label").collect()], float).reshape(-1, 3)
     return terms, logistic(evidence[:, :2], evidence[:, 2])
@@ -213,7 +241,7 @@ def _evidence(documents: DataFrame, terms: list[tuple[str, bool, float]]) -> Dat
 
 
 def score_toxicity(documents: DataFrame, terms: list[tuple[str, bool, float]], weights: list[float]) -> DataFrame:
-    """`documents` with score, from 0 to 1: higher if toxic is likelier. A null text counts as empty. The lexicon, at most TERMS entries, is broadcast."""
+    """`documents` with score, from 0 to 1: higher if toxic is likelier. A null text counts as empty. The lexicon, words of the sampled toxic texts, is broadcast."""
     z = F.lit(weights[0]) + F.lit(weights[1]) * F.col("exact") + F.lit(weights[2]) * F.col("near")
     documents, back = aside(documents, ("text",), ("score",))
     return back(_evidence(documents, terms).withColumn("score", 1 / (1 + F.exp(-z))))
