@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import slices
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: A tag ends at the first > that is in no quoted value; quotes hold a value right after = only.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 #: White space of markup; other spaces are text until decoded blocks are trimmed.
 SPACE = re.compile(r"\s+")
 
@@ -41,9 +42,14 @@ OTHER_WORDS = frozenset(
 )
 
 
+#: What a part is called that holds others' text; a name made of one of OTHER_WORDS and of these speaks of such a part ("share-buttons"), one that goes on otherwise ("form-of-government") may be a section's subject.
+HOLDERS = frozenset("area article articles bar block body bottom box button buttons card cards col column container content default desktop first fixed frame global group head heading icon icons inner item items label last layout left line link links list lists mobile "
+                    "module news outer overlay page panel part parts post posts primary right row secondary section site slot stories story sticky tab tabs text thread title toggle top unit view wrap wrapper zone".split())
+
+
 def tags_of(source: str) -> Iterator[tuple[int, int, str, bool, bool, str]]:
     """Start, end, name, whether an end tag, whether empty by its slash (in svg only), and attributes of each tag; raw text, and source text of formulas, is inside its tag."""
-    at, drawing = 0, 0
+    at, drawing, ahead = 0, 0, None
     while m := TAG.search(source, at):
         start, at = m.span()
         tag, end, rest = (m[2] or "").lower(), bool(m[1]), m[3] or ""
@@ -53,8 +59,12 @@ def tags_of(source: str) -> Iterator[tuple[int, int, str, bool, bool, str]]:
         elif tag in RAW and not end and not empty:
             close = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(source, at)
             at = close.end() if close else len(source)
-        elif tag in ("annotation", "annotation-xml") and not end and (close := ANNOTATION.search(source, at)) and close[0][:3].lower() == "</a":
-            at = close.end()
+        elif tag in ("annotation", "annotation-xml") and not end:
+            if ahead is None or 0 <= ahead[0] < at:  # what was found ahead is good for all tags before it
+                close = ANNOTATION.search(source, at)
+                ahead = (close.start(), close.end(), close[0][:3].lower() == "</a") if close else (-1, -1, False)
+            if ahead[2]:
+                at = ahead[1]
         yield start, at, tag, end, empty, rest
 
 
@@ -86,6 +96,15 @@ class Page:
 
     def _read(self) -> None:
         source, at, open_, run, links, anchor = self.source, 0, [0], [], 0, 0
+        depths: dict[str, list[int]] = {}  # of the open elements of each name, the innermost last
+
+        def enter(tag: str, words: frozenset) -> None:
+            depths.setdefault(tag, []).append(len(open_))
+            open_.append(self._add(open_[-1], tag, words))
+
+        def nearest(names: Iterable[str]) -> int:
+            return max((depths[n][-1] for n in names if depths.get(n)), default=0)
+
         tags = list(tags_of(source))
         closed = closed_in(tags)
         around: list[tuple[int, list[str], int, int]] = []  # of embedded elements: depth, and the run of text that goes on after them
@@ -108,7 +127,7 @@ class Page:
             nonlocal run, links, anchor
             while len(open_) > depth:
                 flush()
-                open_.pop()
+                depths[self.tag[open_.pop()]].pop()
                 if around and around[-1][0] == len(open_):
                     _, run, links, anchor = around.pop()
 
@@ -120,12 +139,12 @@ class Page:
                 continue
             if tag in EMBEDDED:
                 if end:
-                    if (k := max((k for k, x in enumerate(open_) if self.tag[x] == tag), default=0)):
+                    if k := nearest((tag,)):
                         leave(k)
                 elif start in closed:
                     around.append((len(open_), run, links, anchor))
                     run, links, anchor = [], 0, 0
-                    open_.append(self._add(open_[-1], tag, words_of(rest)))
+                    enter(tag, words_of(rest))
                 continue
             if tag in INLINE:
                 if tag == "a":
@@ -136,7 +155,7 @@ class Page:
             flush()
             anchor = 0
             if end:
-                if (k := max((k for k, x in enumerate(open_) if self.tag[x] == tag), default=0)):
+                if k := nearest((tag,)):
                     leave(k)
                     flush()
                 continue
@@ -144,20 +163,15 @@ class Page:
                 if self.tag[open_[-1]] == "p":
                     leave(len(open_) - 1)
             if tag in CLOSES:
-                shut, scope = CLOSES[tag].split(), SCOPES.get(tag, "").split()
-                for k in range(len(open_) - 1, 0, -1):
-                    if self.tag[open_[k]] in scope:
-                        break
-                    if self.tag[open_[k]] in shut:
-                        leave(k)
-                        flush()
-                        break
+                if (k := nearest(CLOSES[tag].split())) > nearest(SCOPES.get(tag, "").split()):
+                    leave(k)
+                    flush()
             elif tag == "body":
                 while len(open_) > 1 and self.tag[open_[-1]] == "head":
                     leave(len(open_) - 1)
             if tag in VOID or empty:
                 continue
-            open_.append(self._add(open_[-1], tag, words_of(rest)))
+            enter(tag, words_of(rest))
         if at < len(source):
             say(source[at:])
         leave(1)
@@ -165,13 +179,21 @@ class Page:
 
 
 def words_of(attributes: str) -> frozenset:
-    found = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes))
-    return frozenset(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower())) if found else frozenset()
+    """What the names in class, id and role say: "other" if one is of OTHER_WORDS, alone or before HOLDERS only; "mention" if one has such a word elsewhere; "main" if one has one of MAIN_WORDS."""
+    said = set()
+    for name in " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)).split():
+        words = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        at = [k for k, w in enumerate(words) if w in OTHER_WORDS]
+        if at:
+            said.add("other" if all(w in HOLDERS for w in words[at[-1] + 1 :]) else "mention")
+        elif not MAIN_WORDS.isdisjoint(words):
+            said.add("main")
+    return frozenset(said)
 
 
 #: What the model looks at. The weights that training starts from and is drawn to.
 FEATURES = {
-    "bias": 0.0, "main tag": 6.0, "other tag": -8.0, "main word": 6.0, "other word": -8.0, "text": 0.2,
+    "bias": 0.0, "main tag": 6.0, "other tag": -8.0, "main word": 6.0, "other word": -8.0, "mention": -1.0, "text": 0.2,
     "long": 0.6, "short": -0.4, "linked": -2.5, "sentence": 0.6, "heading": 0.4, "paragraph": 0.4, "item": -0.3, "rights": -1.0,
 }
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -203,21 +225,20 @@ def features_of(page: Page, i: int) -> list[int]:
         out.append(INDEX["paragraph"])
     elif tag == "li":
         out.append(INDEX["item"])
-    if words:
-        if not OTHER_WORDS.isdisjoint(words):
-            out.append(INDEX["other word"])
-        elif not MAIN_WORDS.isdisjoint(words):
-            out.append(INDEX["main word"])
+    if "other" in words:
+        out.append(INDEX["other word"])
+    elif "main" in words:
+        out.append(INDEX["main word"])
+    elif "mention" in words:
+        out.append(INDEX["mention"])
     return out
 
 
 def labels_of(page: Page) -> list[int] | None:
-    """1 for nodes in an article or main element that are in no other named part; None if the page names no main part."""
+    """1 for nodes that elements put in an article or main element and in no other part; None if the page has no such element. Names in class, id and role don't count here, so that what they say is learned."""
     out = [0] * len(page.tag)
     for i in range(1, len(out)):
-        tag = page.tag[i]
-        other = tag in OTHER_TAGS or not OTHER_WORDS.isdisjoint(page.words[i])
-        out[i] = int((tag in MAIN_TAGS or out[page.parent[i]]) and not other)
+        out[i] = int((page.tag[i] in MAIN_TAGS or out[page.parent[i]]) and page.tag[i] not in OTHER_TAGS)
     return out if any(out) else None
 
 

@@ -34,6 +34,9 @@ def _best(k: int):
             order = np.argsort(ids, kind="stable")
             ids, terms = ids[order], _matrix(rows.column("_terms"), width)[order].T.copy()
             weights = _matrix(queries.column("_terms"), width)
+            largest = [float(np.abs(x.astype(float)).max(initial=0)) for x in (terms, weights)]
+            if width * largest[0] * largest[1] >= 2.0**63:
+                raise OverflowError("scores of these vectors may not fit in 64 bits")
             postings = [(None if (at := np.flatnonzero(x)).size == x.size else at, x[at]) for x in terms]
             for a in range(0, len(asked), TILE):
                 tile = weights[a : a + TILE]
@@ -71,6 +74,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int =
     a partition selects the k best. The few best of each block then merge by query. Work is queries times rows, by
     nature; candidates shuffle once for every QUERIES queries.
 
+    Where components are so large that a score may not fit in 64 bits, it raises.
+
     Rows without vec_id or embedding, and vectors with null or non-finite components, take no part; an
     empty vector scores 0 with all. A candidate with the query's own vec_id is the query's own row, also if repeated;
     repeated query rows give repeated ranks of their common result: they are asked once.

@@ -89,3 +89,51 @@ def test_training_reads_whole_pages(spark):
     frame = spark.createDataFrame([(k, page) for k in range(40)], "page_id long, html string")
     whole, drawn = htmltext.train_extractor(frame), htmltext.fit([])
     assert whole == htmltext.fit([page] * 40) and whole != drawn
+
+
+@pytest.mark.parametrize("part", ["<div class='form-of-government'><h2>Offices</h2><p>{}</p></div>", "<p class='text-search-intro'>{}</p>", "<section id='more-history'><h2>Later</h2><p>{}</p></section>", "<div data-id='menu'><p>{}</p></div>"])
+def test_subjects_stay(spark, part):
+    model = htmltext.train_extractor(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+    for outer in ("<article>{}</article>", "<main>{}</main>", "<div class='post-content'>{}</div>"):
+        page = f"<html><body><nav><a href='/'>Home</a></nav>{outer.format(f'<h1>Head</h1><p>{STORY}</p>' + part.format(NEXT))}<div class='share-buttons'>Share</div><div class='related-articles'><p>{STORY} Elsewhere.</p></div></body></html>"
+        found = htmltext.main_text(page, model).split("\n")
+        assert STORY in found and NEXT in found and "Share" not in found and f"{STORY} Elsewhere." not in found and "Home" not in found
+
+
+def test_quotes_in_unquoted_values():
+    model = htmltext.fit([])
+    page = f"""<article><p>{STORY}</p><p>{NEXT} <a href=x title=it's fine>here</a> and <a title="a > b" href='c>d'>there</a>.</p><p data-x = "1>2" y=" '">{STORY} Again.</p></article>"""
+    assert htmltext.main_text(page, model) == f"{STORY}\n{NEXT} here and there.\n{STORY} Again."
+
+
+@pytest.mark.parametrize("source", ["<div>" * 40_000 + "</p>" * 40_000, "<div>" * 20_000 + "<li>x" * 20_000, "<math><annotation>" * 40_000, "<b>" * 40_000 + "</i>" * 40_000, "<a x='" * 40_000, "<svg>" * 20_000 + "</svg>" * 20_000])
+def test_long_markup_takes_linear_time(source):
+    import time
+
+    began = time.time()
+    htmltext.main_text(source + f"<p>{STORY}</p>", htmltext.fit([]))
+    assert time.time() - began < 5
+
+
+def test_marginals_are_those_of_all_labellings():
+    """Messages against the sum over all labellings of a tree of twelve nodes."""
+    import itertools
+    import math
+    import random
+
+    rng = random.Random(2)
+    model = ([rng.uniform(-1.5, 1.5) for _ in htmltext.NAMES], [[0.8, 0.2], [0.35, 0.65]])
+    for _ in range(5):
+        page = htmltext.Page("")
+        tags = ["div", "p", "li", "article", "nav", "h2"]
+        for i in range(1, 12):
+            page._add(rng.randrange(i), rng.choice(tags), rng.choice([frozenset(), frozenset({"main"}), frozenset({"mention"})]))
+        own = [sum(model[0][k] for k in htmltext.features_of(page, i)) for i in range(12)]
+        total = [[0.0, 0.0] for _ in range(12)]
+        for labels in itertools.product((0, 1), repeat=12):
+            weight = math.exp(sum(o for o, y in zip(own, labels, strict=True) if y))
+            for i in range(1, 12):
+                weight *= model[1][labels[page.parent[i]]][labels[i]]
+            for i, y in enumerate(labels):
+                total[i][y] += weight
+        assert htmltext.marginals(page, model) == pytest.approx([math.log(b / a) for a, b in total], abs=1e-9)

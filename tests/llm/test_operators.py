@@ -57,6 +57,11 @@ def test_top_k(spark):
     few = frame.where("vec_id < 3")
     assert topk.exact_top_k(few, few).count() == 6
     assert topk.exact_top_k(frame.limit(0), asked.limit(0)).count() == 0
+    twice = few.union(few.where("vec_id = 1"))
+    assert topk.exact_top_k(twice, twice).count() == 8  # 0 and 2 have three other rows each, both rows of 1 are one query with two others
+    large = spark.createDataFrame([(0, [1e18, 1.0]), (1, [1e18, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.exact_top_k(large, large).count()
 
 
 def brute_contamination(rows, items):
