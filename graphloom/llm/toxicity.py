@@ -19,15 +19,15 @@ from graphloom.llm.quality import labelled_texts
 
 #: Labelled rows that lexicon and weights are learned from at most, the first by a hash of doc_id.
 TRAINING_ROWS = 16_000
-#: A term's log odds ratio, less so many of its standard errors, is at least so high: what few texts show has to show the more clearly.
-ERRORS, LEAST_WEIGHT = 2.0, 1.0
+#: A term is in at least so many of the toxic texts (all, if they are fewer) and in such a share of them, and its log odds ratio is at least so high.
+LEAST_TEXTS, LEAST_SHARE, LEAST_WEIGHT = 4, 0.01, 3.5
 #: Training texts of one label with such a share of words in common, or more, count once.
 COPIES = 0.8
 #: Longer tokens are looked up each time they come.
 REMEMBERED_SIZE = 64
 #: Lengths of the word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6)
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 #: Tokens on either side of a hit that tell quotation from abuse, and what a quoted hit counts.
 WINDOW, QUOTED = 8, 0.3
 #: Weight of one more edit.
@@ -56,24 +56,31 @@ class Trie:
         self.root: dict = {}
         self.exact: dict[str, float] = {}
         self.stems: dict[str, float] = {}
-        self.parts: dict[tuple[int, int], set[str]] = {}
-        self.tails: set[str] = set()
+        self.parts: dict[tuple[int, int], dict[str, list[tuple[int, int]]]] = {}
+        self.tails: dict[str, list[tuple[int, int]]] = {}
         for term, stem, weight in terms:
             (self.stems if stem else self.exact)[term] = weight
             if len(term) < 5:
                 continue
+            edits = 1 if stem or len(term) < 8 else 2
+            # at each node: the most edits, and the least and greatest word length, of what lies below
+            low, high = (len(term) + 1, 1 << 30) if stem else (len(term) - edits, len(term) + edits)
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
+                was = node.get(2, (0, low, high))
+                node[2] = (max(was[0], edits), min(was[1], low), max(was[2], high))
             node[1 if stem else 0] = (weight, len(term))
-            edits = 1 if stem or len(term) < 8 else 2
             cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
             for a, b in pairwise(cuts):
                 if b == len(term) and not stem:
-                    self.tails.add(term[a:])
+                    self.tails.setdefault(term[a:], []).append((low, high))
                     continue
                 for start in range(a - edits, a + edits + 1) if a else (0,):
-                    self.parts.setdefault((start, b - a), set()).add(term[a:b])
+                    self.parts.setdefault((start, b - a), {}).setdefault(term[a:b], []).append((low, high))
+        for ranges in (self.tails, *self.parts.values()):
+            for part, found in ranges.items():
+                ranges[part] = sorted(set(found))
         self.longest = max((len(t) for t, _, _ in terms), default=0)
         self.sizes = sorted({len(x) for x in self.tails})
         self.lengths = sorted({len(x) for x in self.stems})
@@ -86,15 +93,20 @@ class Trie:
                 best = max(best, self.stems.get(word[:n], 0.0))
         return best
 
+    @staticmethod
+    def _held(found: Iterator[list[tuple[int, int]] | None], size: int) -> bool:
+        return any(ranges and any(a <= size <= b for a, b in ranges) for ranges in found)
+
     def nearly(self, word: str) -> float:
         """The largest weight of a term of 5 characters or more one edit away (two from 8 characters), less by EDIT for each; 0 if none.
 
         A term is cut into one part more than it may take edits, so that one part is left whole, moved by as many places as
         there are edits at most: at the start for the first part, at the end of the word for the last (a stem's stands inside).
-        Words without any such part are passed over at once. A word longer than all terms by three is cut there: no whole term is within two edits
+        Words without any such part of a term that their length allows are passed over at once, and the walk leaves out what is too far off or of other lengths. A word longer than all terms by three is cut there: no whole term is within two edits
         of it, and a stem is looked for at its beginning. A row of distances holds the five cells around the diagonal.
         """
-        if len(word) < 4 or not (any(word[-n:] in self.tails for n in self.sizes) or any(word[a : a + n] in parts for (a, n), parts in self.parts.items())):
+        whole = len(word)
+        if whole < 4 or not (self._held((self.tails.get(word[-n:]) for n in self.sizes), whole) or self._held((parts.get(word[a : a + n]) for (a, n), parts in self.parts.items()), whole)):
             return 0.0
         word = word[: self.longest + 3]
         best, size = 0.0, len(word)
@@ -107,18 +119,32 @@ class Trie:
                     weight, length = child
                     if 0 < row[size] <= (2 if length >= 8 else 1):
                         best = max(best, weight * EDIT ** row[size])
+                elif c == 2:
+                    continue
                 elif c == 1:
                     weight, length = child
                     if size > length and min(row[length - 1 : length + 2]) == 1:
                         best = max(best, weight * EDIT)
                 else:
+                    edits, low, high = child[2]
+                    if not low <= whole <= high:
+                        continue
                     at = depth + 1
                     new = far[: size + 1]
-                    if at <= 2:
+                    if at <= edits:
                         new[0] = at
-                    for k in range(max(1, at - 2), min(size, at + 2) + 1):
-                        new[k] = min(new[k - 1] + 1, row[k] + 1, row[k - 1] + (word[k - 1] != c), 3)
-                    if min(new) <= 2:
+                    near = new[0]
+                    for k in range(max(1, at - edits), min(size, at + edits) + 1):
+                        x = row[k - 1] + (word[k - 1] != c)
+                        if x > (y := new[k - 1] + 1):
+                            x = y
+                        if x > (y := row[k] + 1):
+                            x = y
+                        if x < 3:
+                            new[k] = x
+                            if x < near:
+                                near = x
+                    if near <= edits:
                         stack.append((child, at, new))
         return best
 
@@ -169,18 +195,19 @@ def _signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         words = [np.unique(np.array([xxhash.xxh3_64_intdigest(w) for w in set(tokens_of(t))], np.uint64)) for t in part.column("text").to_pylist()]
         signs = [xxhash.xxh3_64_intdigest((w[:, None] * ORDERS).min(0).tobytes()) >> 1 if w.size else 0 for w in words]
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label", "text")), pa.array([w.astype(np.int64) for w in words], pa.list_(pa.int64())), pa.array(signs, pa.int64())], ["doc_id", "label", "text", "words", "sig"])
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "label")), pa.array([w.astype(np.int64) for w in words], pa.list_(pa.int64())), pa.array(signs, pa.int64())], ["doc_id", "label", "words", "sig"])
 
 
 def without_copies(labelled: DataFrame) -> DataFrame:
-    """label and text of the rows (doc_id, label, text) less near copies: of rows of one label and signature, those go whose words agree with the first one's in a share of COPIES of both together.
+    """Rows (doc_id, label, text) less near copies: of rows of one label and signature, those go whose words agree with the first one's in a share of COPIES of both together.
 
-    Unlike texts with one signature stay, so that only copies are lost.
+    Unlike texts with one signature stay, so that only copies are lost. `labelled` is a bounded sample: no text shuffles, and the ids that stay are broadcast.
     """
-    rows = labelled.dropDuplicates(["doc_id", "label"]).mapInArrow(_signature, "doc_id long, label int, text string, words array<long>, sig long")
+    rows = labelled.mapInArrow(_signature, "doc_id long, label int, words array<long>, sig long")
     first = rows.groupBy("sig", "label").agg(F.min("doc_id").alias("_first"), F.min_by("words", "doc_id").alias("_words"))
     common, both = F.size(F.array_intersect("words", "_words")), F.size(F.array_union("words", "_words"))
-    return rows.join(first, ["sig", "label"]).where((F.col("doc_id") == F.col("_first")) | (common < COPIES * both)).select("label", "text")
+    kept = rows.join(first, ["sig", "label"]).where((F.col("doc_id") == F.col("_first")) | (common < COPIES * both)).select("doc_id", "label").distinct()
+    return labelled.join(F.broadcast(kept), ["doc_id", "label"], "left_semi").select("doc_id", "label", "text")
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,19 +225,19 @@ def train_toxicity(labelled: DataFrame, rows: int = TRAINING_ROWS) -> tuple[list
     """(term, is a stem, weight) of the lexicon, and bias and weights of the evidence, from doc_id, text and label.
 
     At most `rows` rows are used, the first by a hash of doc_id, less near copies. A term is a word or a beginning of words that toxic texts hold more often than
-    clean ones by what ERRORS and LEAST_WEIGHT ask for, whether there are few texts or many; there is no cap on terms but the words of the sampled toxic texts. Without any
+    clean ones by LEAST_WEIGHT, and that LEAST_TEXTS and LEAST_SHARE of the toxic texts hold. There is no cap on terms: the share alone bounds them, by a hundred times the words of a toxic text. Without any
     toxic row the lexicon is empty and all texts score the share of toxic rows, smoothed.
     """
     labelled = labelled.where(F.col("label").isin(0, 1))
     ids = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
-    chosen = labelled.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", F.col("label").cast("int").alias("label"), "text")
-    single = written(without_copies(chosen), "toxicity-training")
+    chosen = written(labelled.join(F.broadcast(ids), "doc_id", "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"), "text"), "toxicity-sample")
+    single = written(without_copies(chosen), "toxicity-training").select("label", "text")
     totals = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     clean_n, toxic_n = totals.get(0, 0), totals.get(1, 0)
     weight = F.log((F.col("toxic") + 0.5) / (toxic_n + 1.0)) - F.log((F.col("clean") + 0.5) / (clean_n + 1.0))
     counted = single.mapInArrow(_terms, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    best = counted.withColumn("weight", weight).where(F.col("weight") - ERRORS * error >= LEAST_WEIGHT).orderBy(F.desc("weight"), "term")
+    least = max(1, min(LEAST_TEXTS, toxic_n), LEAST_SHARE * toxic_n)
+    best = counted.withColumn("weight", weight).where((F.col("toxic") >= least) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("weight"), "term")
     terms = [(r["term"].lstrip("^"), r["term"].startswith("^"), float(r["weight"])) for r in best.collect()]
     evidence = np.array([(r["exact"], r["near"], r["label"]) for r in _evidence(single, terms).select("exact", "near", "label").collect()], float).reshape(-1, 3)
     return terms, logistic(evidence[:, :2], evidence[:, 2])

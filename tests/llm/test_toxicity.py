@@ -59,7 +59,7 @@ def test_a_million_letters():
 
 def test_copies_count_once_and_only_copies_go(spark):
     base = [f"word{k}" for k in range(60)]
-    rows = [(1, 1, " ".join(base)), (2, 1, " ".join(base) + " "), (3, 1, " ".join([*base[:-1], "other"])), (4, 0, " ".join(base)), (5, 1, "a b"), (6, 1, "a c"), (7, 1, "a d"), (8, 1, ""), (9, 1, "?!"), (5, 1, "a b")]
+    rows = [(1, 1, " ".join(base)), (2, 1, " ".join(base) + " "), (3, 1, " ".join([*base[:-1], "other"])), (4, 0, " ".join(base)), (5, 1, "a b"), (6, 1, "a c"), (7, 1, "a d"), (8, 1, ""), (9, 1, "?!")]
     kept = toxicity.without_copies(spark.createDataFrame(rows, "doc_id long, label int, text string")).collect()
     texts = sorted((r["label"], r["text"]) for r in kept)
     assert (0, " ".join(base)) in texts and texts.count((1, " ".join(base))) == 1 and (1, " ".join(base) + " ") not in texts
