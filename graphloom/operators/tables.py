@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.scalars import ratio, rational
 from graphloom.operators import invariants as inv
+from graphloom.operators import structure as st
 from graphloom.operators.structure import edge_lists, neighbour_masks, stacks
 from graphloom.sources.files import materialized
 
@@ -198,12 +199,19 @@ def _cycles(edges: DataFrame) -> DataFrame:
     return inv.four_cycles(edges).join(n, "graph_id").select("graph_id", "four_cycles", ratio(F.col("four_cycles") * 24, F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) * (F.col("n") - 3)).alias("four_cycle_share"))
 
 
+def _induced(edges: DataFrame) -> DataFrame:
+    found = st.induced_four(edges)
+    return found.select("graph_id", *(F.col(c).alias(f"induced_{c}") for c in found.columns if c != "graph_id"))
+
+
 #: Groups of features that a user picks by name; each gives one row a graph.
 GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "degree": _degree, "entropy": inv.degree_entropy, "assortativity": inv.assortativity, "gini": inv.degree_gini, "triangles": inv.triangle_counts, "cycles": _cycles, "clustering": _clustering, "distance": inv.distance_summary,
+    "embeddedness": inv.embeddedness, "profile": st.distance_profile, "cuts": st.cut_counts, "induced": _induced, "euler": lambda e: st.euler_summary(e).drop("bars"),
+    "spectrum": st.spectral_descriptors, "centrality": lambda e: st.score_summary(st.vertex_scores(e)),
 }
-#: Presets of groups: those of one or two joins, and all.
-PRESETS = {"fast": ["degree", "entropy", "gini"], "full": list(GROUPS)}
+#: Presets of groups: those of one or two joins, those whose values are counts and sums, and all.
+PRESETS = {"fast": ["degree", "entropy", "gini"], "counted": [g for g in GROUPS if g not in ("spectrum", "centrality")], "full": list(GROUPS)}
 MOST_VERTICES = 62
 
 
@@ -211,20 +219,26 @@ def graph_features(graphs: DataFrame, layers: dict[str, DataFrame], groups: str
     """One wide row a graph: the features of the named groups on every layer, as <layer>_<feature>.
 
     `graphs` (graph_id, any others) gives the rows: a graph without edges in a layer has nulls there. `groups` is a preset, or names; an unknown
-    name is an error. Vertices are relabelled densely first, and more than MOST_VERTICES in a graph are an error. All parts are keyed by graph_id.
+    name is an error. The layers become one collection of graphs, graph_id * layers + layer, that is relabelled densely (more than MOST_VERTICES in a graph are an error) and written
+    once; each group then reads that table, for all layers together, and one aggregate by graph turns rows of layers into columns.
     """
     names = PRESETS.get(groups, [groups]) if isinstance(groups, str) else list(groups)
     if unknown := [g for g in names if g not in GROUPS]:
         raise ValueError(f"no such groups: {unknown}; there are {list(GROUPS)} and the presets {list(PRESETS)}")
-    out = graphs
-    for layer, edges in layers.items():
-        dense = relabelled(edges)
-        bound = F.when(F.col("v") < MOST_VERTICES, F.col("v")).otherwise(F.raise_error(F.lit(f"a graph has more than {MOST_VERTICES} vertices")).cast("int"))
-        dense = dense.withColumn("v", bound)
-        for g in names:
-            part = GROUPS[g](dense)
-            out = out.join(part.select("graph_id", *(F.col(c).alias(f"{layer}_{c}") for c in part.columns if c != "graph_id")), "graph_id", "left")
-    return out
+    n, stacked = len(layers), None
+    for k, edges in enumerate(layers.values()):
+        part = edges.select((F.col("graph_id") * n + k).alias("graph_id"), "u", "v")
+        stacked = part if stacked is None else stacked.union(part)
+    bound = F.when(F.col("v") < MOST_VERTICES, F.col("v")).otherwise(F.raise_error(F.lit(f"a graph has more than {MOST_VERTICES} vertices")).cast("int"))
+    dense = materialized(relabelled(stacked).withColumn("v", bound), "layers")
+    held = dense.select("graph_id").distinct()
+    for g in names:
+        held = held.join(GROUPS[g](dense), "graph_id", "left")
+    layer = F.pmod(F.col("graph_id"), F.lit(n))
+    columns = [c for c in held.columns if c != "graph_id"]
+    kept = [F.max(F.when(F.col("_layer") == k, F.col(c))).alias(f"{name}_{c}") for k, name in enumerate(layers) for c in columns]
+    wide = held.withColumn("_layer", layer).withColumn("graph_id", F.expr(f"(graph_id - _layer) div {n}")).groupBy("graph_id").agg(*kept)
+    return graphs.join(wide, "graph_id", "left")
 
 
 #: Beginnings and parts of feature names by category; the first that fits counts.

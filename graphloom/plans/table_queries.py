@@ -9,6 +9,7 @@ from graphloom.functions.scalars import nonzero
 from graphloom.operators import invariants as inv
 from graphloom.operators import preparation as prep
 from graphloom.operators import tables as tb
+from graphloom.plans import structure_queries  # noqa: F401  (the wide row's SQL is made of theirs)
 from graphloom.plans.queries import DARTS, DEG, DEN, NUM, ORACLE_SQL, TRI, query
 from graphloom.sources.collections import _pairs, den_edges, graph_labels, num_edges, table
 
@@ -40,6 +41,8 @@ _GROUPS = {
     "degree_summary": ["n_nodes", "n_edges", "deg_min", "deg_max", "deg_avg", "deg_std", "deg_skew", "density", "edges_per_node"],
     "degree_entropy": ["entropy", "entropy_norm"], "degree_assortativity": ["assortativity"], "degree_gini": ["gini"],
     "triangle_counts": ["triangles", "open_wedges", "triangle_share"], "four_cycles": ["four_cycles"], "distance_summary": ["components", "connected", "diameter", "wiener"],
+    "edge_embeddedness": ["emb_mean", "emb_std", "emb_none", "emb_two", "double_triangles"], "distance_profile": ["radius", "mean_distance", "ecc_mean", "ecc_std", "ecc_p90", "radius_ratio", "effective_diameter"],
+    "cut_counts": ["cut_points", "bridges", "cut_share", "bridge_share"], "euler_summary": ["cyclomatic", "faces", "planar_possible"],
 }
 _CLUSTER = ORACLE_SQL["vertex_clustering"].split("SELECT graph_id, v, deg, round")[0] + f"SELECT graph_id, round(avg({_C}), 6) AS clustering_mean, round(quantile_cont({_C}, 0.5), 6) AS clustering_q50, round(quantile_cont({_C}, 0.9), 6) AS clustering_q90, round(avg(CAST(c = 0 AS DOUBLE)), 6) AS clustering_zero FROM lc GROUP BY 1"
 _SCALED = f"WITH {DEG}, n AS (SELECT graph_id, count(*) AS n, min(deg) AS lo, max(deg) AS hi, avg(deg) AS mean, stddev_pop(deg) AS sd FROM deg GROUP BY 1) SELECT graph_id, round(lo / (n - 1), 6) AS deg_min_norm, round(hi / (n - 1), 6) AS deg_max_norm, round(mean / (n - 1), 6) AS deg_avg_norm, round(sd / (n - 1), 6) AS deg_std_norm FROM n"
@@ -51,6 +54,8 @@ def _wide_sql() -> str:
     edges["total"] = f"{DEN.replace('den AS', 'den0 AS')}, {NUM.replace('FROM den d', 'FROM den0 d')}, den AS (SELECT graph_id, u, v FROM den0 UNION ALL SELECT graph_id, u, v FROM num)"
     parts = [(ORACLE_SQL[q], c) for q, c in _GROUPS.items()]
     parts += [(_CLUSTER, ["clustering_mean", "clustering_q50", "clustering_q90", "clustering_zero"]), (_SCALED, ["deg_min_norm", "deg_max_norm", "deg_avg_norm", "deg_std_norm"]), (_SHARE, ["four_cycle_share"])]
+    fours = ["path", "star", "cycle", "tailed_triangle", "diamond", "clique", "connected_sets"]
+    parts += [(f"SELECT graph_id, {', '.join(f'{c} AS induced_{c}' for c in fours)} FROM ({ORACLE_SQL['induced_four']})", [f"induced_{c}" for c in fours])]
     columns, joins = [], ""
     for layer, held in edges.items():
         for k, (sql, names) in enumerate(parts):
@@ -62,7 +67,13 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.graph_features(graphs(spark, sf_dir), layers(spark, sf_dir))
+    return tb.graph_features(graphs(spark, sf_dir), layers(spark, sf_dir), "counted")
+
+
+@query()
+def spectral_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra and vertex scores of all layers, as columns of one row a graph."""
+    return tb.graph_features(graphs(spark, sf_dir), layers(spark, sf_dir), ["spectrum", "centrality"])
 
 
 @query(f"WITH {DEG}, n AS (SELECT graph_id, count(*) AS n, CAST(sum(deg) // 2 AS BIGINT) AS m FROM deg GROUP BY 1), l AS (SELECT graph_id, avg(deg) AS a, n, m FROM deg JOIN n USING (graph_id) GROUP BY ALL) "
