@@ -15,7 +15,7 @@ def graphs(spark):
 
 def test_connectivity(spark):
     found = {r[0]: (r[1], r[2]) for r in tp.connectivity(graphs(spark)).collect()}
-    assert found == {1: (4, 5), 2: (2, 2), 3: (0, 0), 4: (1, 2)}
+    assert found == {1: (5, 5), 2: (2, 2), 3: (0, 0), 4: (1, 2)}
 
 
 def test_faces(spark):
