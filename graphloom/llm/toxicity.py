@@ -27,7 +27,7 @@ COPIES = 0.8
 REMEMBERED_SIZE = 64
 #: Lengths of the word beginnings that count as terms besides whole words.
 STEMS = (4, 5, 6)
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Tokens on either side of a hit that tell quotation from abuse, and what a quoted hit counts.
 WINDOW, QUOTED = 8, 0.3
 #: Weight of one more edit.
@@ -83,19 +83,31 @@ class Trie:
                 ranges[part] = sorted(set(found))
         self.longest = max((len(t) for t, _, _ in terms), default=0)
         self.sizes = sorted({len(x) for x in self.tails})
+        self.heads = [(a, a + n, parts) for (a, n), parts in sorted(self.parts.items())]
         self.lengths = sorted({len(x) for x in self.stems})
 
     def exactly(self, word: str) -> float:
         """The largest weight of the word as a term or of a stem that it begins with; 0 if none."""
-        best = self.exact.get(word, 0.0)
+        best, size = self.exact.get(word, 0.0), len(word)
         for n in self.lengths:
-            if len(word) > n:
-                best = max(best, self.stems.get(word[:n], 0.0))
+            if size > n and (found := self.stems.get(word[:n])) and found > best:
+                best = found
         return best
 
-    @staticmethod
-    def _held(found: Iterator[list[tuple[int, int]] | None], size: int) -> bool:
-        return any(ranges and any(a <= size <= b for a, b in ranges) for ranges in found)
+    def _may_be_near(self, word: str) -> bool:
+        """Whether a part of a term stands in the word at its place, and the word's length allows the term."""
+        size = len(word)
+        for a, b, parts in self.heads:
+            if found := parts.get(word[a:b]):
+                for low, high in found:
+                    if low <= size <= high:
+                        return True
+        for n in self.sizes:
+            if found := self.tails.get(word[-n:]):
+                for low, high in found:
+                    if low <= size <= high:
+                        return True
+        return False
 
     def nearly(self, word: str) -> float:
         """The largest weight of a term of 5 characters or more one edit away (two from 8 characters), less by EDIT for each; 0 if none.
@@ -106,7 +118,7 @@ class Trie:
         of it, and a stem is looked for at its beginning. A row of distances holds the five cells around the diagonal.
         """
         whole = len(word)
-        if whole < 4 or not (self._held((self.tails.get(word[-n:]) for n in self.sizes), whole) or self._held((parts.get(word[a : a + n]) for (a, n), parts in self.parts.items()), whole)):
+        if whole < 4 or not self._may_be_near(word):
             return 0.0
         word = word[: self.longest + 3]
         best, size = 0.0, len(word)
