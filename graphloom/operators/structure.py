@@ -6,7 +6,7 @@ stack. Both need one shuffle by graph_id; what follows is row-local until the la
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -148,14 +148,14 @@ def cut_counts(edges: DataFrame) -> DataFrame:
     return points.join(bridges, "graph_id").select("graph_id", "cut_points", "bridges", (F.col("cut_points") / F.col("n")).alias("cut_share"), (F.col("bridges") / F.col("m")).alias("bridge_share"))
 
 
-def _induced_sets(edges: DataFrame, k: int) -> DataFrame:
-    """graph_id, vertices v1 < v2 < .. of each set of `k` none of which is alone in it, and their neighbours within the set as masks mv1, mv2, ..; some sets are not connected."""
+def _induced_sets(edges: DataFrame, k: int, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Of the sets that `keep` leaves of all (graph_id, nbr, v1, v2, ..): graph_id, vertices v1 < v2 < .. of each set of `k` none of which is alone in it, and their neighbours within the set as masks mv1, mv2, ..; some sets are not connected."""
     rows = neighbour_masks(edges)
     for i in range(1, k + 1):
         low = f"v{i - 1} + 1" if i > 1 else "0"
         rows = rows.withColumn(f"v{i}", F.explode(F.expr(f"if({low} > size(nbr) - {k - i + 1}, array(), sequence({low}, size(nbr) - {k - i + 1}))")))
     names = [f"v{i}" for i in range(1, k + 1)]
-    rows = rows.select("graph_id", F.expr(" | ".join(f"shiftleft(1L, {v})" for v in names)).alias("_set"), *(F.expr(f"nbr[{v}]").alias(f"m{v}") for v in names), *names)
+    rows = keep(rows).select("graph_id", F.expr(" | ".join(f"shiftleft(1L, {v})" for v in names)).alias("_set"), *(F.expr(f"nbr[{v}]").alias(f"m{v}") for v in names), *names)
     rows = rows.select("graph_id", *(F.expr(f"m{v} & _set").alias(f"m{v}") for v in names), *names)
     rows = rows.where(" and ".join(f"m{v} <> 0" for v in names))
     meets = " + ".join(f"if(getbit(m{a}, {b}) = 1, bit_count(m{a} & m{b}), 0)" for i, a in enumerate(names) for b in names[i + 1 :])

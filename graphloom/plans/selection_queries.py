@@ -10,7 +10,7 @@ from graphloom.operators import selection as sel
 from graphloom.operators import structure as st
 from graphloom.operators.invariants import degree_summary
 from graphloom.plans.queries import DARTS, PRED, WIDE, query
-from graphloom.plans.structure_queries import MASKS, _induced
+from graphloom.plans.structure_queries import MASKS, induced_sets_sql
 from graphloom.sources.collections import den_edges, predictions, table
 
 FEATURES = [f"f{k}" for k in range(64)]
@@ -72,7 +72,7 @@ def positive_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORBIT = "unnest([" + ", ".join(f"struct_pack(v := CAST(v{i} AS INT), own := CAST(bit_count(mv{i}) AS INT))" for i in range(1, 5)) + "])"
 
 
-@query(f"WITH {MASKS}, {_induced(4)}, o AS (SELECT graph_id, array_to_string(list_sort([" + ", ".join(f"CAST(bit_count(mv{i}) AS INT)" for i in range(1, 5)) + f"]), '') AS degrees, {ORBIT} AS x FROM w3 WHERE b3 = s) SELECT graph_id, x.v AS v, degrees, x.own AS own, count(*) AS sets FROM o GROUP BY 1, 2, 3, 4")
+@query(f"WITH {MASKS}, {induced_sets_sql(4)}, o AS (SELECT graph_id, array_to_string(list_sort([" + ", ".join(f"CAST(bit_count(mv{i}) AS INT)" for i in range(1, 5)) + f"]), '') AS degrees, {ORBIT} AS x FROM w3 WHERE b3 = s) SELECT graph_id, x.v AS v, degrees, x.own AS own, count(*) AS sets FROM o GROUP BY 1, 2, 3, 4")
 def vertex_orbits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.vertex_orbits(den_edges(spark, sf_dir))
 

@@ -51,8 +51,11 @@ def cut_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.cut_counts(den_edges(spark, sf_dir))
 
 
-def _induced(k: int) -> str:
-    """SQL for the connected induced classes: a self-join of the vertex masks, degrees within the set, and a walk over the set."""
+def induced_sets_sql(k: int, digest: str = "''", where: str = "") -> str:
+    """SQL for the connected induced classes: a self-join of the vertex masks, degrees within the set, and a walk over the set.
+
+    `where` picks sets by h, the SQL text `digest`, or by place, its rank in the graph.
+    """
     names = [f"v{i}" for i in range(1, k + 1)]
     joins = "mask v1 " + " ".join(f"JOIN mask v{i} ON v{i}.graph_id = v1.graph_id AND v{i}.v > v{i - 1}.v" for i in range(2, k + 1))
     bits = " | ".join(f"(CAST(1 AS BIGINT) << {v}.v)" for v in names)
@@ -64,17 +67,17 @@ def _induced(k: int) -> str:
     meets = " + ".join(f"(CASE WHEN (m{a} >> {b}) & 1 = 1 THEN bit_count(m{a} & m{b}) ELSE 0 END)" for i, a in enumerate(names) for b in names[i + 1 :])
     return (
         f"raw AS (SELECT v1.graph_id, {bits} AS s, " + ", ".join(f"{v}.v AS {v}, {v}.m AS x{v}" for v in names) + f" FROM {joins}), "
-        "sets AS (SELECT graph_id, s, CAST(1 AS BIGINT) << v1 AS b0, " + ", ".join(f"{v}, x{v} & s AS m{v}" for v in names) + " FROM raw), " + ", ".join(steps) + ", "
+        "sets AS (SELECT graph_id, s, CAST(1 AS BIGINT) << v1 AS b0, " + ", ".join(f"{v}, x{v} & s AS m{v}" for v in names) + (f" FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY h) AS place FROM (SELECT *, {digest} AS h FROM raw)) WHERE {where}" if where else " FROM raw") + "), " + ", ".join(steps) + ", "
         "kinds AS (SELECT graph_id, CAST(" + " + ".join(f"bit_count(m{v})" for v in names) + " AS INT) // 2 AS n_edges, array_to_string(list_sort([" + ", ".join(f"CAST(bit_count(m{v}) AS INT)" for v in names) + f"]), '') AS degrees, CAST({meets} AS BIGINT) // 3 AS triangles FROM w{k - 1} WHERE {grown} = s)"
     )
 
 
-@query(f"WITH {MASKS}, {_induced(4)} SELECT graph_id, " + ", ".join(f"count(*) FILTER (degrees = '{d}') AS {n}" for d, n in st.FOUR.items()) + ", count(*) AS connected_sets FROM kinds GROUP BY 1")
+@query(f"WITH {MASKS}, {induced_sets_sql(4)} SELECT graph_id, " + ", ".join(f"count(*) FILTER (degrees = '{d}') AS {n}" for d, n in st.FOUR.items()) + ", count(*) AS connected_sets FROM kinds GROUP BY 1")
 def induced_four(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.induced_four(den_edges(spark, sf_dir))
 
 
-@query(f"WITH {MASKS}, {_induced(5)} SELECT graph_id, CAST(n_edges AS BIGINT) AS n_edges, degrees, triangles, count(*) AS sets FROM kinds GROUP BY 1, 2, 3, 4")
+@query(f"WITH {MASKS}, {induced_sets_sql(5)} SELECT graph_id, CAST(n_edges AS BIGINT) AS n_edges, degrees, triangles, count(*) AS sets FROM kinds GROUP BY 1, 2, 3, 4")
 def induced_five(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.induced_classes(den_edges(spark, sf_dir), 5)
 

@@ -9,6 +9,7 @@ import pytest
 import graphloom.plans.analysis_queries  # noqa: F401
 import graphloom.plans.file_queries  # noqa: F401
 import graphloom.plans.growth_queries  # noqa: F401
+import graphloom.plans.kernel_queries  # noqa: F401
 import graphloom.plans.mixed_queries  # noqa: F401
 import graphloom.plans.model_queries  # noqa: F401
 import graphloom.plans.score_queries  # noqa: F401
