@@ -13,6 +13,7 @@ import graphloom.plans.kernel_queries  # noqa: F401
 import graphloom.plans.mixed_queries  # noqa: F401
 import graphloom.plans.model_queries  # noqa: F401
 import graphloom.plans.score_queries  # noqa: F401
+import graphloom.plans.search_queries  # noqa: F401
 import graphloom.plans.selection_queries  # noqa: F401
 import graphloom.plans.spectra_queries  # noqa: F401
 import graphloom.plans.structure_queries  # noqa: F401
