@@ -121,6 +121,19 @@ def local_clustering(edges: DataFrame) -> DataFrame:
     return degrees(edges).join(corners, ["graph_id", "v"], "left").select("graph_id", "v", "deg", F.coalesce(ratio(2 * F.coalesce("t", F.lit(0)), F.col("deg") * (F.col("deg") - 1)), F.lit(0.0)).alias("clustering"))
 
 
+def dual_estimates(edges: DataFrame) -> DataFrame:
+    """(graph_id, v, dual_degree, dual_clustering, dual_ratio, dual_betweenness, dual_share): guesses at a vertex's place in the dual graph, from its degree and triangles.
+
+    dual_degree is triangles + degree - 2, one at least; dual_clustering is the local clustering; dual_betweenness their
+    product; ratio and share are dual_degree over the degree, and over that and one.
+    """
+    deg, c = F.col("deg"), F.col("clustering")
+    corners = F.round(c * deg * (deg - 1) / 2).cast("long")
+    rows = local_clustering(edges).withColumn("dual_degree", F.greatest(corners + deg - 2, F.lit(1)))
+    d = F.col("dual_degree")
+    return rows.select("graph_id", "v", "dual_degree", c.alias("dual_clustering"), (d / deg).alias("dual_ratio"), (d * c).alias("dual_betweenness"), (d / (deg + 1)).alias("dual_share"))
+
+
 def closed_walks(edges: DataFrame, longest: int = 5) -> DataFrame:
     """(graph_id, k, walks): traces of the adjacency matrix's powers, by k-step dart joins with summed counts."""
     d = darts(edges)

@@ -16,6 +16,12 @@ def marked(first: DataFrame, second: DataFrame) -> DataFrame:
     return both.groupBy(*keys).agg(F.min("l").alias("l"))
 
 
+def typed_edges(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(graph_id, src, dst, type): both directions of each edge of `marked`, with its layer's mark, as graph learners take them; no shuffle beyond that of `marked`."""
+    each = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
+    return marked(first, second).select("graph_id", F.inline(each), F.col("l").alias("type"))
+
+
 def apexes(edges: DataFrame) -> DataFrame:
     """(graph_id, u, v, l, w, s): each edge with each vertex that is next to both ends; s sums the marks of the two edges there."""
     d = edges.select("graph_id", "u", "v", "l").union(edges.select("graph_id", "v", "u", "l"))

@@ -34,3 +34,8 @@ def mixed_motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CODEG}, p AS (SELECT graph_id, sum(k * (k - 1) // 2) AS pairs, sum(k * (k - 1) // 2) // 2 AS c4 FROM codeg GROUP BY 1) SELECT graph_id, CASE WHEN pairs > 0 THEN CAST(4 * c4 AS DOUBLE) / pairs END AS square_proxy FROM p")
 def square_proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.square_proxy(den_edges(spark, sf_dir))
+
+
+@query(f"WITH {TOTAL} SELECT graph_id, src, dst, CAST(l AS INT) AS type FROM td")
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mx.typed_edges(den_edges(spark, sf_dir), num_edges(spark, sf_dir))

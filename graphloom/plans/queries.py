@@ -98,6 +98,11 @@ def vertex_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.local_clustering(den_edges(spark, sf_dir))
 
 
+@query(CLUSTERING + ", e AS (SELECT d.graph_id, d.v, d.deg, greatest(coalesce(t, 0) + d.deg - 2, 1) AS x FROM deg d LEFT JOIN corner k ON k.graph_id = d.graph_id AND k.v = d.v) SELECT e.graph_id, e.v, x AS dual_degree, round(CAST(c AS DOUBLE), 6) AS dual_clustering, round(x / e.deg, 6) AS dual_ratio, round(x * CAST(c AS DOUBLE), 6) AS dual_betweenness, round(x / (e.deg + 1), 6) AS dual_share FROM e JOIN lc ON lc.graph_id = e.graph_id AND lc.v = e.v")
+def dual_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inv.dual_estimates(den_edges(spark, sf_dir))
+
+
 @query(CLUSTERING + "SELECT graph_id, round(avg(CAST(c AS DOUBLE)), 6) AS clustering_mean, round(quantile_cont(CAST(c AS DOUBLE), 0.1), 6) AS q10, round(quantile_cont(CAST(c AS DOUBLE), 0.5), 6) AS q50, round(quantile_cont(CAST(c AS DOUBLE), 0.9), 6) AS q90, round(avg(CAST(c = 0 AS DOUBLE)), 6) AS zero_share FROM lc GROUP BY 1")
 def clustering_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("clustering")

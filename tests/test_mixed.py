@@ -23,3 +23,8 @@ def test_mixed_motifs(spark):
 def test_square_proxy(spark):
     edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 0, 3), (2, 0, 1), (2, 1, 2)], SCHEMA)
     assert {tuple(r) for r in mx.square_proxy(edges).collect()} == {(1, 2.0), (2, None)}
+
+
+def test_typed_edges(spark):
+    first, second = (spark.createDataFrame(x, SCHEMA) for x in ([(1, 0, 1), (1, 0, 1)], [(1, 0, 1), (1, 1, 2)]))
+    assert sorted(map(tuple, mx.typed_edges(first, second).collect())) == [(1, 0, 1, 0), (1, 1, 0, 0), (1, 1, 2, 1), (1, 2, 1, 1)]

@@ -46,3 +46,11 @@ def test_orbits_cycles_and_prefixes(spark):
     assert [round(x, 9) for x in low[1][:4]] == [0, 4, 4, 4] and low[1][4:] == [None, None]
     heat = {r["graph_id"]: r for r in st.heat_signature(graphs(spark), 2, 0.5, 1.0).collect()}
     assert all(math.isclose(heat[1]["trace"][k], 1 + 3 * math.exp(-4 * t)) for k, t in enumerate((0.5, 1.0)))
+
+
+def test_dual_estimates(spark):
+    from graphloom.operators.invariants import dual_estimates
+
+    rows = {(r["graph_id"], r["v"]): tuple(r)[2:] for r in dual_estimates(graphs(spark)).collect()}
+    assert rows[1, 0] == (4, 1.0, 4 / 3, 4.0, 1.0)  # in the 4-clique: three triangles, degree three
+    assert rows[2, 0] == (1, 0.0, 1.0, 0.0, 0.5) and rows[2, 1] == (1, 0.0, 0.5, 0.0, 1 / 3) and len(rows) == 13
