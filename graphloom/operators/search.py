@@ -62,7 +62,7 @@ def drawn_params(space: dict[str, list[Any]], count: int, seed: int = SEED) -> l
 def random_search(frame: DataFrame, key: str, features: list[str], space: dict[str, list[Any]] = BOOSTED, count: int = 8, folds: int = 3, learner: str = "boosted", seed: int = SEED, parallelism: int = 2) -> Search:
     """`count` drawn combinations, each judged by its area under the curve over `folds` folds (fewer, but two at least, if a class has fewer rows).
 
-    Rows without y take no part; fewer than two rows of either class raise.
+    Rows without y take no part; fewer than two rows of either class raise, and so does a fold that the digest leaves empty (a handful of rows).
     """
     rows = prepared(frame, features).where("y is not null")
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
