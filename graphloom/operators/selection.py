@@ -15,6 +15,15 @@ def selected_features(frame: DataFrame, features: list[str], label: str, least:
     return frame.agg(F.array(*stats).alias("s")).select(F.inline("s")).where(F.abs("corr") >= least)
 
 
+def ranked_selection(long: DataFrame, least: float) -> DataFrame:
+    """(feature, corr, place) of a table (feature, x, y): the features whose correlation is at least `least`, either way, the strongest first.
+
+    Correlations that agree to nine digits go by name. A row a feature, so one window holds them.
+    """
+    found = long.groupBy("feature").agg(F.corr("x", "y").alias("corr")).where(F.abs("corr") >= least)
+    return found.withColumn("place", F.rank().over(Window.orderBy(F.round(F.abs("corr"), 9).desc(), "feature")))
+
+
 def unit_rows(frame: DataFrame, features: list[str]) -> DataFrame:
     """Each row's features over the sum of their absolute values; nulls count as 0 in the sum, and a row of zeros stays."""
     total = sum((F.coalesce(F.abs(c), F.lit(0.0)) for c in features), F.lit(0.0))
