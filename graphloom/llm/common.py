@@ -44,6 +44,11 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession, limit: int = SLICE_BYTES) -> None:
+    """From now on, Python workers of this session get batches of about `limit` bytes (one row at least), not of 10,000 rows or 64 MB, which the executor and the worker hold several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that `column` holds about `limit` bytes in each (one row at least)."""
     for batch in batches:

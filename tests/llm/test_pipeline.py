@@ -1,5 +1,6 @@
 """The pipeline's stages, each on what its predecessor kept."""
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -39,3 +40,20 @@ def test_line_stage(spark):
     found = corpus_pipeline.lines(spark, docs, folder).collect()
     assert sorted((r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in found) == sorted((x[0], x[3]) for x in brute_lines(rows))
     assert all(r["n_chars"] == len(r["text"]) for r in found)
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=lambda s: s.__name__)
+def test_workers_get_small_batches(spark, stage):
+    """After any stage is asked for, 30 MB of texts don't reach a Python worker at once, and all of them reach it."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    folder = "/root/testdata/sf0.001"
+    stage(spark, spark.read.parquet(f"{folder}/documents.parquet").limit(20), folder)
+    texts = spark.range(0, 300, 1, 1).selectExpr("id", "repeat('a', 100000) as text")
+    found = texts.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r["n"] for r in found) == 300
+    assert max(r["size"] for r in found) < 6 << 20
