@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.scalars import ratio, rational
+from graphloom.functions.scalars import rational
 from graphloom.operators import invariants as inv
 from graphloom.operators import structure as st
 from graphloom.operators.structure import edge_lists, neighbour_masks, stacks
+from graphloom.operators.wide import LOCAL, MOST_VERTICES, wide_rows
 from graphloom.sources.files import materialized
 
 
@@ -183,62 +184,50 @@ def running_totals(frame: DataFrame, by: str, value: str, width: int = 1 << 12)
     return cut.withColumn("_in", inside).join(starts, "_cut").withColumn("before", F.col("_start") + F.col("_in")).drop("_cut", "_in", "_start")
 
 
-def _clustering(edges: DataFrame) -> DataFrame:
-    c = F.col("clustering")
-    return inv.local_clustering(edges).groupBy("graph_id").agg(F.avg(c).alias("clustering_mean"), F.percentile(c, 0.5).alias("clustering_q50"), F.percentile(c, 0.9).alias("clustering_q90"), F.avg((c == 0).cast("double")).alias("clustering_zero"))
-
-
-def _degree(edges: DataFrame) -> DataFrame:
-    n = F.col("n_nodes")
-    scaled = {f"{c}_norm": ratio(F.col(c), n - 1) for c in ("deg_min", "deg_max", "deg_avg", "deg_std")}
-    return inv.degree_summary(edges).withColumns(scaled)
-
-
-def _cycles(edges: DataFrame) -> DataFrame:
-    n = inv.degrees(edges).groupBy("graph_id").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    return inv.four_cycles(edges).join(n, "graph_id").select("graph_id", "four_cycles", ratio(F.col("four_cycles") * 24, F.col("n") * (F.col("n") - 1) * (F.col("n") - 2) * (F.col("n") - 3)).alias("four_cycle_share"))
-
-
-def _induced(edges: DataFrame) -> DataFrame:
-    found = st.induced_four(edges)
-    return found.select("graph_id", *(F.col(c).alias(f"induced_{c}") for c in found.columns if c != "graph_id"))
-
-
-#: Groups of features that a user picks by name; each gives one row a graph.
-GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    "degree": _degree, "entropy": inv.degree_entropy, "assortativity": inv.assortativity, "gini": inv.degree_gini, "triangles": inv.triangle_counts, "cycles": _cycles, "clustering": _clustering, "distance": inv.distance_summary,
-    "embeddedness": inv.embeddedness, "profile": st.distance_profile, "cuts": st.cut_counts, "induced": _induced, "euler": lambda e: st.euler_summary(e).drop("bars"),
-    "spectrum": st.spectral_descriptors, "centrality": lambda e: st.score_summary(st.vertex_scores(e)),
-}
+#: Groups of features that a user picks by name, beside those of `wide.LOCAL`; each gives one row a graph.
+GROUPS: dict[str, Callable[[DataFrame], DataFrame]] = {"spectrum": st.spectral_descriptors, "centrality": lambda e: st.score_summary(st.vertex_scores(e))}
 #: Presets of groups: those of one or two joins, those whose values are counts and sums, and all.
-PRESETS = {"fast": ["degree", "entropy", "gini"], "counted": [g for g in GROUPS if g not in ("spectrum", "centrality")], "full": list(GROUPS)}
-MOST_VERTICES = 62
+PRESETS = {"fast": ["degree", "entropy", "gini"], "counted": list(LOCAL), "full": [*LOCAL, *GROUPS]}
 
 
 def graph_features(graphs: DataFrame, layers: dict[str, DataFrame], groups: str | list[str] = "full") -> DataFrame:
     """One wide row a graph: the features of the named groups on every layer, as <layer>_<feature>.
 
     `graphs` (graph_id, any others) gives the rows: a graph without edges in a layer has nulls there. `groups` is a preset, or names; an unknown
-    name is an error. The layers become one collection of graphs, graph_id * layers + layer, that is relabelled densely (more than MOST_VERTICES in a graph are an error) and written
-    once; each group then reads that table, for all layers together, and one aggregate by graph turns rows of layers into columns.
+    name is an error. The layers become one collection of edges with the number of their layer, for `layered_features`.
     """
-    names = PRESETS.get(groups, [groups]) if isinstance(groups, str) else list(groups)
-    if unknown := [g for g in names if g not in GROUPS]:
-        raise ValueError(f"no such groups: {unknown}; there are {list(GROUPS)} and the presets {list(PRESETS)}")
-    n, stacked = len(layers), None
+    stacked = None
     for k, edges in enumerate(layers.values()):
-        part = edges.select((F.col("graph_id") * n + k).alias("graph_id"), "u", "v")
+        part = edges.select("graph_id", F.lit(k).alias("layer"), "u", "v")
         stacked = part if stacked is None else stacked.union(part)
+    return layered_features(graphs, stacked, list(layers), groups)
+
+
+def layered_features(graphs: DataFrame, edges: DataFrame, layers: list[str], groups: str | list[str] = "full") -> DataFrame:
+    """`graph_features` of edges (graph_id, layer, u, v), where layer is a layer's number; more than 62 vertices in a graph are an error.
+
+    All edges of a graph become one row, and `wide.wide_rows` makes the features of `wide.LOCAL` of it, for all layers and groups, without another shuffle. The other groups read
+    the relabelled graphs of all layers, graph_id * layers + layer, from a table that is written once, and one aggregate by graph turns rows of layers into columns.
+    """
+    names = PRESETS.get(groups, [groups]) if isinstance(groups, str) else list(groups)
+    if unknown := [g for g in names if g not in LOCAL and g not in GROUPS]:
+        raise ValueError(f"no such groups: {unknown}; there are {[*LOCAL, *GROUPS]} and the presets {list(PRESETS)}")
+    lists = edges.groupBy("graph_id").agg(F.collect_list(F.struct("layer", "u", "v")).alias("edges"))
+    wide = wide_rows(graphs.join(lists, "graph_id", "left"), layers, [g for g in names if g in LOCAL])
+    if not (others := [g for g in names if g in GROUPS]):
+        return wide
+    n = len(layers)
     bound = F.when(F.col("v") < MOST_VERTICES, F.col("v")).otherwise(F.raise_error(F.lit(f"a graph has more than {MOST_VERTICES} vertices")).cast("int"))
-    dense = materialized(relabelled(stacked).withColumn("v", bound), "layers")
-    held = dense.select("graph_id").distinct()
-    for g in names:
-        held = held.join(GROUPS[g](dense), "graph_id", "left")
+    dense = materialized(relabelled(edges.select((F.col("graph_id") * n + F.col("layer")).alias("graph_id"), "u", "v")).withColumn("v", bound), "layers")
+    held, features = dense.select("graph_id").distinct(), {g: list(LOCAL[g][1]) for g in names if g in LOCAL}
+    for g in others:
+        found = GROUPS[g](dense)
+        features[g] = [c for c in found.columns if c != "graph_id"]
+        held = held.join(found, "graph_id", "left")
     layer = F.pmod(F.col("graph_id"), F.lit(n))
-    columns = [c for c in held.columns if c != "graph_id"]
-    kept = [F.max(F.when(F.col("_layer") == k, F.col(c))).alias(f"{name}_{c}") for k, name in enumerate(layers) for c in columns]
-    wide = held.withColumn("_layer", layer).withColumn("graph_id", F.expr(f"(graph_id - _layer) div {n}")).groupBy("graph_id").agg(*kept)
-    return graphs.join(wide, "graph_id", "left")
+    kept = [F.max(F.when(F.col("_layer") == k, F.col(c))).alias(f"{name}_{c}") for k, name in enumerate(layers) for g in others for c in features[g]]
+    rest = held.withColumn("_layer", layer).withColumn("graph_id", F.expr(f"(graph_id - _layer) div {n}")).groupBy("graph_id").agg(*kept)
+    return wide.join(rest, "graph_id", "left").select(*graphs.columns, *(f"{name}_{c}" for name in layers for g in names for c in features[g]))
 
 
 #: Beginnings and parts of feature names by category; the first that fits counts.

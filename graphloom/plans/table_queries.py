@@ -28,6 +28,13 @@ def layers(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"den": den, "num": num, "total": den.union(num)}
 
 
+def layered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph_id, layer, u, v): the edges of `layers` with the numbers of their layers, from one shuffle by graph_id; an edge of both kinds of lines is the first layer's."""
+    lines = table(spark, sf_dir, "lineitem").where("l_linenumber is not null")
+    pairs = _pairs(lines, (F.col("l_linenumber") % 4 != 0).alias("den")).repartition("graph_id").groupBy("graph_id", "u", "v").agg(F.bool_or("den").alias("den"))
+    return pairs.select("graph_id", F.explode(F.when(F.col("den"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))).alias("layer"), "u", "v")
+
+
 def coefficient_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(graph_id, text): the coefficients of six orders as "{a/b, ..}"."""
     one = F.concat_ws("/", (F.col("o_custkey") % 7 - 3).cast("string"), (1 + F.col("o_orderkey") % 4).cast("string"))
@@ -67,7 +74,7 @@ def _wide_sql() -> str:
 
 @query(_wide_sql())
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tb.graph_features(graphs(spark, sf_dir), layers(spark, sf_dir), "counted")
+    return tb.layered_features(graphs(spark, sf_dir), layered_edges(spark, sf_dir), ["den", "num", "total"], "counted")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,9 +10,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pairs(lines: DataFrame) -> DataFrame:
+def _pairs(lines: DataFrame, *others: Column) -> DataFrame:
     s, p = (F.col(c) % 12 for c in ("l_suppkey", "l_partkey"))
-    return lines.where(s != p).select(F.expr("l_orderkey div 6").alias("graph_id"), F.least(s, p).cast("int").alias("u"), F.greatest(s, p).cast("int").alias("v"))
+    return lines.where(s != p).select(F.expr("l_orderkey div 6").alias("graph_id"), F.least(s, p).cast("int").alias("u"), F.greatest(s, p).cast("int").alias("v"), *others)
 
 
 def den_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
