@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,34 @@ SAME = 1e-7
 CELLS = 1 << 20
 
 
+def _weighted_lists(edges: DataFrame) -> DataFrame:
+    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
+    return edges.groupBy("graph_id").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"), F.collect_list(weight.cast("double")).alias("ws"))
+
+
+def _decomposed(batches: Iterator[pd.DataFrame], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...], np.ndarray, np.ndarray]]:
+    """Graph ids, vertex ids, edges (place of the graph, places of the ends, weight), eigenvalues and signed eigenvectors of rows from `_weighted_lists`, stacked by the number of vertices."""
+    for batch in batches:
+        names = [np.unique(np.concatenate([u, v])) for u, v in zip(batch["us"], batch["vs"], strict=True)]
+        sizes = np.array([len(x) for x in names])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            step = max(1, CELLS // int(n * n))
+            for part in (at[a : a + step] for a in range(0, len(at), step)):
+                us, vs, ws = (batch[c].iloc[part] for c in ("us", "vs", "ws"))
+                row = np.repeat(np.arange(len(part)), us.str.len())
+                u, v = (np.concatenate([np.searchsorted(names[i], x) for i, x in zip(part, ends, strict=True)]) for ends in (us, vs))
+                w = np.concatenate(ws.to_list())
+                m = np.zeros((len(part), n, n))
+                m[row, u, v] = m[row, v, u] = w
+                if kind == "laplacian":
+                    m = np.eye(n) * np.abs(m).sum(2)[:, :, None] - m
+                value, vector = np.linalg.eigh(m)
+                first = (np.abs(vector) > SAME).argmax(1)
+                vector = vector * np.where(np.take_along_axis(vector, first[:, None, :], 1) < 0, -1, 1)
+                yield batch["graph_id"].to_numpy()[part], np.stack([names[i] for i in part]), (row, u, v, w), value, vector
+
+
 def eigenvectors(edges: DataFrame, kind: str = "laplacian") -> DataFrame:
     """(graph_id, v, k, value, component, multiplicity, weight): eigenvector k (from 0, values ascending) of each graph at each vertex with an edge.
 
@@ -20,38 +50,19 @@ def eigenvectors(edges: DataFrame, kind: str = "laplacian") -> DataFrame:
     signed Laplacian). Vectors have length 1 and a positive first component beyond SAME. Of an eigenvalue that occurs more than once only the space is defined, not the vectors:
     `multiplicity` tells, and `weight`, the vertex's share in that space (the diagonal of its projector, over the multiplicity), depends on no basis. Any vertex ids will do.
     """
-    weight = F.col("weight") if "weight" in edges.columns else F.lit(1.0)
-    rows = edges.groupBy("graph_id").agg(F.collect_list("u").alias("us"), F.collect_list("v").alias("vs"), F.collect_list(weight.cast("double")).alias("ws"))
     if kind not in ("adjacency", "laplacian"):
         raise ValueError(f"no such matrix: {kind}")
 
     def run(batches):
-        for batch in batches:
-            names = [np.unique(np.concatenate([u, v])) for u, v in zip(batch["us"], batch["vs"], strict=True)]
-            sizes = np.array([len(x) for x in names])
-            for n in np.unique(sizes):
-                at = np.flatnonzero(sizes == n)
-                step = max(1, CELLS // int(n * n))
-                for part in (at[a : a + step] for a in range(0, len(at), step)):
-                    m = np.zeros((len(part), n, n))
-                    for k, i in enumerate(part):
-                        u, v = np.searchsorted(names[i], batch["us"].iloc[i]), np.searchsorted(names[i], batch["vs"].iloc[i])
-                        m[k, u, v] = m[k, v, u] = batch["ws"].iloc[i]
-                    if kind == "laplacian":
-                        m = np.eye(n) * np.abs(m).sum(2)[:, :, None] - m
-                    value, vector = np.linalg.eigh(m)
-                    first = (np.abs(vector) > SAME).argmax(1)
-                    vector = vector * np.where(np.take_along_axis(vector, first[:, None, :], 1) < 0, -1, 1)
-                    group = np.cumsum(np.concatenate([np.zeros((len(part), 1), bool), np.diff(value, axis=1) > SAME], 1), 1)
-                    same = group[:, :, None] == group[:, None, :]
-                    many = same.sum(2)
-                    weights = (vector**2 @ same.astype(float)) / many[:, None, :]
-                    g, v, k = np.indices(vector.shape).reshape(3, -1)
-                    ids = batch["graph_id"].to_numpy()[part]
-                    held = np.stack([names[i] for i in part])
-                    yield pd.DataFrame({"graph_id": ids[g], "v": held[g, v].astype("int32"), "k": k.astype("int32"), "value": value[g, k], "component": vector[g, v, k], "multiplicity": many[g, k].astype("int32"), "weight": weights[g, v, k]})
-
-    return rows.mapInPandas(run, "graph_id long, v int, k int, value double, component double, multiplicity int, weight double")
+        for ids, held, _, value, vector in _decomposed(batches, kind):
+            group = np.cumsum(np.concatenate([np.zeros((len(ids), 1), bool), np.diff(value, axis=1) > SAME], 1), 1)
+            same = group[:, :, None] == group[:, None, :]
+            many = same.sum(2)
+            weights = (vector**2 @ same.astype(float)) / many[:, None, :]
+            g, v, k = np.indices(vector.shape).reshape(3, -1)
+            yield pd.DataFrame({"graph_id": ids[g], "v": held[g, v].astype("int32"), "k": k.astype("int32"), "value": value[g, k], "component": vector[g, v, k], "multiplicity": many[g, k].astype("int32"), "weight": weights[g, v, k]})
+
+    return _weighted_lists(edges).mapInPandas(run, "graph_id long, v int, k int, value double, component double, multiplicity int, weight double")
 
 
 def extreme_vectors(vectors: DataFrame, count: int = 3) -> DataFrame:
@@ -80,18 +91,25 @@ def vertex_moments(vectors: DataFrame, most: int = 2) -> DataFrame:
     return vectors.groupBy("graph_id", "v").agg(*(F.sum(F.pow("value", F.lit(j)) * F.col("component") * F.col("component")).alias(f"moment_{j}") for j in range(most + 1)))
 
 
-def residuals(vectors: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, vectors, residual, overlap): the largest difference between a Laplacian vector's image, summed over the edges, and its multiple, and the largest product of two different vectors (or of one with itself, less 1)."""
-    from graphloom.operators.invariants import darts, degrees
+def residuals(edges: DataFrame, kind: str = "laplacian") -> DataFrame:
+    """(graph_id, vectors, residual, overlap) of the vectors of `eigenvectors`: how many a graph has, the largest difference between a vector's image, summed over the edges, and its multiple, and the largest product of two different vectors (or of one with itself, less 1).
+
+    The vectors stay in the task that finds them, so that only edges shuffle.
+    """
 
-    x = vectors.select("graph_id", "v", "k", "value", "component")
-    near = darts(edges).select("graph_id", F.col("src").alias("v"), "dst").join(x.select("graph_id", F.col("v").alias("dst"), "k", F.col("component").alias("y")), ["graph_id", "dst"]).groupBy("graph_id", "v", "k").agg(F.sum("y").alias("near"))
-    off = x.join(near, ["graph_id", "v", "k"]).join(degrees(edges), ["graph_id", "v"]).select("graph_id", F.abs(F.col("deg") * F.col("component") - F.col("near") - F.col("value") * F.col("component")).alias("off"), "k")
-    worst = off.groupBy("graph_id").agg(F.countDistinct("k").alias("vectors"), F.max("off").alias("residual"))
-    rows = x.groupBy("graph_id", "k").agg(F.array_sort(F.collect_list(F.struct("v", "component"))).alias("a"))
-    pairs = rows.join(rows.select("graph_id", F.col("k").alias("l"), F.col("a").alias("b")), "graph_id").where("k <= l")
-    product = F.aggregate(F.zip_with("a", "b", lambda p, q: p.component * q.component), F.lit(0.0), lambda s, y: s + y)
-    return worst.join(pairs.groupBy("graph_id").agg(F.max(F.abs(product - (F.col("k") == F.col("l")).cast("double"))).alias("overlap")), "graph_id")
+    def run(batches):
+        for ids, _, (row, u, v, w), value, vector in _decomposed(batches, kind):
+            n = vector.shape[1]
+            x, y, w = vector[row, u], vector[row, v], w[:, None]
+            ends, parts = np.concatenate([row * n + u, row * n + v]), np.concatenate([np.abs(w) * x - w * y, np.abs(w) * y - w * x] if kind == "laplacian" else [w * y, w * x])
+            order = np.argsort(ends, kind="stable")
+            starts = np.flatnonzero(np.diff(ends[order], prepend=-1))
+            image = np.add.reduceat(parts[order], starts).reshape(vector.shape)  # every vertex is an edge's end
+            off = np.abs(image - value[:, None, :] * vector).max((1, 2))
+            overlap = np.abs(vector.transpose(0, 2, 1) @ vector - np.eye(n)).max((1, 2))
+            yield pd.DataFrame({"graph_id": ids, "vectors": np.full(len(ids), n), "residual": off, "overlap": overlap})
+
+    return _weighted_lists(edges).mapInPandas(run, "graph_id long, vectors long, residual double, overlap double")
 
 
 def eigenvalue_products(vectors: DataFrame) -> DataFrame:

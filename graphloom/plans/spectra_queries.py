@@ -18,8 +18,7 @@ from graphloom.sources.collections import den_edges, num_edges
 @query(f"WITH {DEG} SELECT graph_id, count(*) AS vectors, CAST(0 AS DOUBLE) AS residual, CAST(0 AS DOUBLE) AS overlap FROM deg GROUP BY 1")
 def eigenvector_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L x = lambda x and orthonormality of all Laplacian vectors, to six digits."""
-    den = den_edges(spark, sf_dir)
-    return sp.residuals(sp.eigenvectors(den), den)
+    return sp.residuals(den_edges(spark, sf_dir, by_graph=True))
 
 
 @query(f"WITH {DEG} SELECT graph_id, v, CAST(1 AS DOUBLE) AS moment_0, CAST(deg AS DOUBLE) AS moment_1, CAST(deg * deg + deg AS DOUBLE) AS moment_2 FROM deg")

@@ -7,6 +7,8 @@ import pytest
 
 from graphloom.operators import cycles as cy
 from graphloom.operators import spectra as sp
+from graphloom.plans import spectra_queries  # noqa: F401  (registers)
+from graphloom.plans.queries import QUERIES
 
 
 def frame(spark, graphs, fields="graph_id long, u int, v int"):
@@ -55,3 +57,14 @@ def test_all_cycles_of_cliques(spark):
     assert shares[7, 5] == math.factorial(4) / 2 and shares[20, 11] == 1
     through = {(r["graph_id"], r["v"]): (r["cycles"], r["max_length"]) for r in cy.cycles_through(sets).collect()}
     assert through[4, 0] == (3 + 3, 4) and through[20, 5] == (1, 11) and not any(g == 30 for g, _ in through)
+
+
+def test_residuals_stay_with_the_graph(spark, sf):
+    for kind in ("laplacian", "adjacency"):
+        found = {r["graph_id"]: r for r in sp.residuals(frame(spark, {1: [(70, 71), (71, 90)], 2: clique(4), 3: [(0, 1), (2, 3)], 4: clique(30)}), kind).collect()}
+        assert {g: r["vectors"] for g, r in found.items()} == {1: 3, 2: 4, 3: 4, 4: 30}
+        assert all(r["residual"] < 1e-9 and r["overlap"] < 1e-9 for r in found.values())
+    signed = frame(spark, {1: [(0, 1, -1.0), (1, 2, 2.5), (0, 2, 1.0)]}, "graph_id long, u int, v int, weight double")
+    assert sp.residuals(signed).first()["residual"] < 1e-9
+    plan = QUERIES["eigenvector_residuals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
