@@ -72,4 +72,4 @@ def share_of_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
        "SELECT graph_id, CAST(n_edges AS BIGINT) AS n_edges, degrees, triangles, sets, round(sets / least(t, 100) * t, 6) AS estimate, round(t * sqrt(sets / least(t, 100) * (1 - sets / least(t, 100)) / least(t, 100) * (1 - least(t, 100) / t)), 6) AS error FROM f JOIN t USING (graph_id)")
 def drawn_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of five vertices, estimated from 100 sets of each graph."""
-    return sm.sampled_classes(den_edges(spark, sf_dir), 5, most=100)
+    return sm.sampled_classes(den_edges(spark, sf_dir, by_graph=True), 5, most=100)

@@ -1,6 +1,8 @@
 """Kernels, documents and samples on graphs whose values are known, and on larger ones than masks take."""
 
+import hashlib
 import math
+import random
 from itertools import combinations
 
 import pytest
@@ -95,3 +97,33 @@ def test_no_rows(spark, edges):
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
     for found in (histogram, kn.pair_kernels(histogram, pairs), kn.hashed_documents(histogram), sm.pivot_betweenness(none, 3), sm.sampled_distances(none), sm.sampled_classes(none, 4, most=3)):
         assert found.count() == 0
+
+
+def test_drawn_sets_are_those_of_the_least_digests(spark):
+    """Few and many sets, names that no block of MD5 has room for, and no sort of sets."""
+    rng = random.Random(2)
+    graphs = {g: [e for e in combinations(range(n), 2) if rng.random() < 0.5] for g, n in ((3, 4), (7, 12), (8, 12), (40, 12), (123456, 9), (9, 20), (-(10**18), 12))}
+    frame = spark.createDataFrame([(g, u, v) for g, edges in graphs.items() for u, v in edges], "graph_id long, u int, v int")
+    for seed in (42, -(10**17)):
+        expected = {}
+        for g, edges in graphs.items():
+            sets = sorted(combinations(sorted({x for e in edges for x in e}), 5), key=lambda s: hashlib.md5(":".join(map(str, (g, *s, seed))).encode()).hexdigest())[:30]
+            for drawn in sets:
+                held = class_of([e for e in edges if set(e) <= set(drawn)], drawn)
+                if held:
+                    expected[g, *held] = expected.get((g, *held), 0) + 1
+        sample = sm.sampled_classes(frame, 5, most=30, seed=seed)
+        assert {(r["graph_id"], r["n_edges"], r["degrees"], r["triangles"]): r["sets"] for r in sample.collect()} == expected
+        plan = sample._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "Generate explode(if" not in plan
+
+
+def class_of(edges, drawn):
+    """Edges, sorted degrees and triangles of a connected graph; None of another."""
+    near = {v: {x for e in edges if v in e for x in e} - {v} for v in drawn}
+    reached = {drawn[0]}
+    for _ in drawn:
+        reached |= {x for v in reached for x in near[v]}
+    if len(reached) < len(drawn):
+        return None
+    return len(edges), "".join(map(str, sorted(map(len, near.values())))), sum(b in near[a] and c in near[a] and c in near[b] for a, b, c in combinations(drawn, 3))
