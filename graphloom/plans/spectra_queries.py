@@ -69,7 +69,7 @@ def long_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH RECURSIVE {PATHS}, o AS (SELECT graph_id, CAST(v AS INT) AS v, n, count(*) // 2 AS k FROM cyc, range(12) r(v) WHERE (seen >> v) & 1 = 1 GROUP BY 1, 2, 3) SELECT graph_id, v, CAST(sum(k) AS BIGINT) AS cycles, round(sum(k * n) / sum(k), 6) AS mean_length, max(n) AS max_length, round(CAST(sum(k) * sum(k * n * n) - sum(k * n) * sum(k * n) AS DOUBLE) / CAST(sum(k) * sum(k) AS DOUBLE), 6) AS length_var FROM o GROUP BY 1, 2")
 def long_cycles_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cycles of 3 to 11 vertices through each vertex."""
-    return cy.cycles_through(cy.cycle_sets(den_edges(spark, sf_dir)))
+    return cy.cycle_vertices(den_edges(spark, sf_dir, by_graph=True))
 
 
 @query(f"WITH {DEG}, w AS (SELECT x.graph_id, count(*) AS w FROM darts x JOIN darts y ON y.graph_id = x.graph_id AND y.src = x.dst JOIN darts z ON z.graph_id = x.graph_id AND z.src = y.dst AND z.dst = x.src GROUP BY 1), g AS (SELECT DISTINCT graph_id FROM den) "

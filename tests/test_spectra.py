@@ -1,8 +1,11 @@
 """Eigenvectors, their sums, and long cycles, on graphs with closed forms."""
 
 import math
+import random
+from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from graphloom.operators import cycles as cy
@@ -68,3 +71,54 @@ def test_residuals_stay_with_the_graph(spark, sf):
     assert sp.residuals(signed).first()["residual"] < 1e-9
     plan = QUERIES["eigenvector_residuals"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def brute_cycles(edges, longest):
+    """Vertex sets of simple cycles, once for each cycle."""
+    near, found = {}, []
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+
+    def walk(path):
+        found.extend([frozenset(path)] * (len(path) > 2 and path[0] in near[path[-1]] and path[1] < path[-1]))
+        if len(path) < longest:
+            for y in near[path[-1]]:
+                if y > path[0] and y not in path:
+                    walk([*path, y])
+
+    for a in near:
+        walk([a])
+    return found
+
+
+def test_cycles_stay_with_the_graph(spark, sf):
+    """Small and large ids, dense and sparse graphs, odd and even bounds, against every path walked."""
+    rng = random.Random(6)
+    graphs = {g: [e for e in combinations(range(n), 2) if rng.random() < p] for g, (n, p) in enumerate([(6, 1), (12, 0.3), (16, 0.25), (17, 0.2), (20, 0.15), (40, 0.03), (9, 0.6), (12, 0.25)])}
+    graphs[20] = [(u + 45, v + 45) for u, v in combinations(range(7), 2)]
+    graphs[21] = [(i, i + 1) for i in range(62)] + [(0, 10), (52, 62), (0, 62)]
+    edges = frame(spark, {g: e for g, e in graphs.items() if e})
+    for longest in (11, 6):
+        walked = {g: brute_cycles(e, longest) for g, e in graphs.items()}
+        sets = cy.cycle_sets(edges, longest)
+        expected = {(g, sum(1 << v for v in s)): n for g, found in walked.items() for s, n in Counter(found).items()}
+        assert {(r["graph_id"], r["seen"]): r["cycles"] for r in sets.collect()} == expected
+        counts, shares = cy.cycle_counts(edges, longest), cy.cycle_shares(sets, edges)
+        assert sorted(counts.collect()) == sorted(shares.collect()) and counts.schema == shares.schema
+        through, before = cy.cycle_vertices(edges, longest), cy.cycles_through(sets)
+        assert sorted(through.collect()) == sorted(before.collect()) and through.dtypes == before.dtypes
+    assert cy.cycle_sets(edges.where("graph_id < 0")).count() == 0
+    for name in ("long_cycles_through",):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1
+
+
+def test_cycles_of_many_paths_start_anew(monkeypatch):
+    masks = np.array([[(1 << 10) - 1 - (1 << v) for v in range(10)]] * 7)
+    whole = {length: ways.sum() for group in cy._cycles(masks, 10) for length, (_, _, ways) in group}
+    monkeypatch.setattr(cy, "PATHS", 3000)
+    parts = list(cy._cycles(masks, 10))
+    assert len(parts) > 1 and sorted({int(x) for group in parts for _, (g, _, _) in group for x in g}) == list(range(7))
+    assert whole == {k: sum(ways.sum() for group in parts for length, (_, _, ways) in group if length == k) for k in whole}
+    assert whole == {k: 7 * 2 * math.comb(10, k) * math.factorial(k - 1) // 2 for k in range(3, 11)}
