@@ -62,8 +62,7 @@ PATHS = f"{DARTS}, p AS (SELECT graph_id, u AS a, v AS x, (1::BIGINT << u) | (1:
 @query(f"WITH RECURSIVE {PATHS}, s AS (SELECT graph_id, count(*) AS n FROM (SELECT DISTINCT graph_id, src FROM darts) GROUP BY 1) SELECT graph_id, c.n AS length, count(*) // 2 AS cycles, round(count(*) // 2 / list_product([(any_value(s.n) - i) / (i + 1) for i in range(c.n)]), 6) AS share FROM cyc c JOIN s USING (graph_id) GROUP BY 1, 2")
 def long_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple cycles of 3 to 11 vertices and their share of vertex sets."""
-    den = den_edges(spark, sf_dir)
-    return cy.cycle_shares(cy.cycle_sets(den), den)
+    return cy.cycle_counts(den_edges(spark, sf_dir, by_graph=True))
 
 
 @query(f"WITH RECURSIVE {PATHS}, o AS (SELECT graph_id, CAST(v AS INT) AS v, n, count(*) // 2 AS k FROM cyc, range(12) r(v) WHERE (seen >> v) & 1 = 1 GROUP BY 1, 2, 3) SELECT graph_id, v, CAST(sum(k) AS BIGINT) AS cycles, round(sum(k * n) / sum(k), 6) AS mean_length, max(n) AS max_length, round(CAST(sum(k) * sum(k * n * n) - sum(k * n) * sum(k * n) AS DOUBLE) / CAST(sum(k) * sum(k) AS DOUBLE), 6) AS length_var FROM o GROUP BY 1, 2")
