@@ -257,19 +257,24 @@ LOCAL: dict[str, tuple[Callable[[Stack], dict[str, Values]], dict[str, object]]]
 }
 
 
-def _stacked(graph: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, Stack]]:
-    """Numbers of graphs and their stacks, graphs of like size together, of edges by the numbers of their graphs."""
+def dense_ids(graph: np.ndarray, u: np.ndarray, v: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges by graph; where vertex ids are negative, or not `below` that, vertices are named 0, 1, .. within each graph."""
     order = np.argsort(graph, kind="stable")
     graph, u, v = graph[order], u[order], v[order]
-    if u.min() < 0 or max(u.max(), v.max()) >= MOST_VERTICES:  # vertices are named 0, 1, .. within each graph
+    if len(u) and (min(u.min(), v.min()) < 0 or max(u.max(), v.max()) >= below):
         ids, rank = np.unique(np.concatenate([u, v]), return_inverse=True)
         ends, at = np.unique(np.concatenate([graph, graph]) * len(ids) + rank, return_inverse=True)
         first = np.searchsorted(ends, graph * len(ids))
         u, v = at[: len(u)] - first, at[len(u) :] - first
+    return graph, u, v
+
+
+def matrices(graph: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of graphs and their adjacency matrices, graphs of like size together, of edges from `dense_ids`."""
+    if not len(graph):
+        return
     starts = np.flatnonzero(np.concatenate([[True], graph[1:] != graph[:-1]]))
     size = np.maximum.reduceat(np.maximum(u, v), starts) + 1
-    if size.max() > MOST_VERTICES:
-        raise ValueError(f"a graph has more than {MOST_VERTICES} vertices")
     counts = np.diff(np.append(starts, len(graph)))
     by = np.argsort(size, kind="stable")
     rank = np.empty(len(by), int)
@@ -286,10 +291,19 @@ def _stacked(graph: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[
         a = np.zeros((j - i, n, n))
         x, y = u[upto[i] : upto[j]], v[upto[i] : upto[j]]
         a[at, x, y] = a[at, y, x] = 1
-        yield names[i:j], Stack(a)
+        yield names[i:j], a
         i = j
 
 
+def _stacked(graph: np.ndarray, u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, Stack]]:
+    """Numbers of graphs and their stacks."""
+    graph, u, v = dense_ids(graph, u, v, MOST_VERTICES)
+    if max(u.max(), v.max()) >= MOST_VERTICES:
+        raise ValueError(f"a graph has more than {MOST_VERTICES} vertices")
+    for names, a in matrices(graph, u, v):
+        yield names, Stack(a)
+
+
 def wide_rows(rows: DataFrame, layers: list[str], groups: list[str]) -> DataFrame:
     """`rows` (any columns, and `edges`, an array of (layer, u, v) with layers by number, or null) with the features of the groups as <layer>_<feature> in place of `edges`; null where a graph has no edge in a layer."""
     kinds = {c: kind for g in groups for c, kind in LOCAL[g][1].items()}

@@ -112,7 +112,7 @@ def clustering_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DARTS}, w2 AS (SELECT a.graph_id, a.src, b.dst, count(*) AS w FROM darts a JOIN darts b ON a.graph_id = b.graph_id AND a.dst = b.src GROUP BY 1, 2, 3), w3 AS (SELECT a.graph_id, a.src, b.dst, sum(w) AS w FROM w2 a JOIN darts b ON a.graph_id = b.graph_id AND a.dst = b.src GROUP BY 1, 2, 3), w4 AS (SELECT a.graph_id, a.src, b.dst, sum(w) AS w FROM w3 a JOIN darts b ON a.graph_id = b.graph_id AND a.dst = b.src GROUP BY 1, 2, 3), w5 AS (SELECT a.graph_id, a.src, b.dst, sum(w) AS w FROM w4 a JOIN darts b ON a.graph_id = b.graph_id AND a.dst = b.src GROUP BY 1, 2, 3) "
        + " UNION ALL ".join(f"SELECT graph_id, {k} AS k, CAST(sum(w) AS BIGINT) AS walks FROM w{k} WHERE src = dst GROUP BY 1" for k in (2, 3, 4, 5)))
 def closed_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inv.closed_walks(den_edges(spark, sf_dir))
+    return inv.closed_walks(den_edges(spark, sf_dir, by_graph=True))
 
 
 @query(f"WITH RECURSIVE {DARTS}, reach AS (SELECT DISTINCT graph_id, src AS s, src AS t, 0 AS d FROM darts UNION SELECT r.graph_id, r.s, x.dst, r.d + 1 FROM reach r JOIN darts x ON x.graph_id = r.graph_id AND x.src = r.t WHERE r.d < 11), dist AS (SELECT graph_id, s, t, min(d) AS d FROM reach GROUP BY 1, 2, 3), comp AS (SELECT graph_id, s, min(t) AS c FROM dist GROUP BY 1, 2) "
